@@ -27,7 +27,7 @@ def enrich(
     schema: T.StructType | str,
     fallback: Mapping[str, Any],
     max_attempts: int = 3,
-    backoff: float = 2.0,
+    backoff: float = 1.0,
     pause: float = 0.0,
     callers: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
@@ -35,7 +35,7 @@ def enrich(
     """Adds the columns of ``schema`` and ``ok, error, attempts``.
 
     ``make_fn`` runs once per task and returns the function that is called per row: one client
-    per task. Between attempts the task waits ``backoff ** attempt`` seconds (1, 2, ...), between
+    per task. Between attempts the task waits ``backoff`` seconds, doubled each time (1, 2, ...), between
     rows ``pause``. After the last attempt the row gets ``fallback``; other rows go on.
     ``callers`` bounds the tasks that call at the same time.
 
@@ -52,7 +52,7 @@ def enrich(
         error = None
         for attempt in range(max_attempts):
             if attempt:
-                sleep(backoff ** (attempt - 1))
+                sleep(backoff * 2 ** (attempt - 1))
             try:
                 values = fn(row)
                 return {**{n: values.get(n) for n in names}, "ok": True, "error": None, "attempts": attempt + 1}

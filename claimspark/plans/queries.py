@@ -54,7 +54,8 @@ def ntz(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-RUN = ntz(RUN_TS)
+def _run_ts() -> Column:
+    return ntz(RUN_TS)
 
 
 def _shown(c: str = "created_at") -> Column:
@@ -527,7 +528,7 @@ def _published(spark, folder):
             "analysis_date": F.when(doc % 2 == 0, "2024-02-29"),
         }
     )
-    return publish.publish_rows(repaired, RUN)
+    return publish.publish_rows(repaired, _run_ts())
 
 
 @query
@@ -549,7 +550,7 @@ def publish_payload(spark, folder):
 
 @query
 def run_names(spark, folder):
-    return _sessions(spark, folder).select("topic", publish.run_name(F.col("topic"), RUN).alias("run_name"))
+    return _sessions(spark, folder).select("topic", publish.run_name(F.col("topic"), _run_ts()).alias("run_name"))
 
 
 @query
@@ -616,7 +617,7 @@ def stream_equals_batch(spark, folder):
         return analysis.analyse_scraped(batch, reviews, _whole_text_summary, _lexicon_only)
 
     arrived = ingest.scraped_stream(ingest.read_pages(spark, f"{work}/in"))
-    run = ingest.ingest(arrived, analyse, f"{work}/store", f"{work}/checkpoint", "pages", lambda batch: RUN)
+    run = ingest.ingest(arrived, analyse, f"{work}/store", f"{work}/checkpoint", "pages", lambda batch: _run_ts())
     run.awaitTermination()
     log = store.read_log(spark, f"{work}/store", store.ARTICLES)
     return log.select(*ARTICLE_LOG.fieldNames()).withColumn("created_at", _shown())
