@@ -96,6 +96,24 @@ def tokens(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(c), f"[^{_WORD}]+"), "")
 
 
+def token_counts(words: Column) -> Column:
+    """Map of the distinct tokens of a list to their counts.
+
+    In the sorted list equal tokens are neighbours, and a back reference finds each run of them
+    in one pass; the length of a run gives its count.
+    """
+    joined = F.array_join(F.sort_array(words), " ")
+    runs = F.regexp_extract_all(joined, F.lit(r"([^ ]+)(?: \1(?![^ ]))*+"), F.lit(0))
+
+    def token(run: Column) -> Column:
+        return F.substring_index(run, " ", 1)
+
+    def count(run: Column) -> Column:
+        return (F.length(run) + 1) / (F.length(token(run)) + 1)
+
+    return bind(runs, lambda r: F.map_from_arrays(F.transform(r, token), F.transform(r, count)))
+
+
 def normalised(c: Column) -> Column:
     """Lower-case words joined by single blanks: the key for exact text matches."""
     return F.trim(F.regexp_replace(F.lower(c), f"[^{_WORD}]+", " "))

@@ -18,6 +18,10 @@ def claim_list(summary: Column, max_claims: int | None = MAX_CLAIMS) -> Column:
     return chosen if max_claims is None else F.slice(chosen, 1, max_claims)
 
 
-def explode_claims(df: DataFrame, key: str, claims: str = "claims") -> DataFrame:
-    """``key, pos, claim``, one row per claim, ``pos`` from 0."""
+def explode_claims(df: DataFrame, key: str, claims: Column) -> DataFrame:
+    """``key, pos, claim``, one row per claim, ``pos`` from 0.
+
+    Takes the list as an expression: for a generator over a plain column the optimizer adds a
+    filter for empty lists below it, which would split the text a second time.
+    """
     return df.select(key, F.posexplode(claims).alias("pos", "claim"))

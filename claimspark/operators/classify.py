@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schemas import CATEGORIES
+from .joins import lookup_join
 
 MAX_LITERAL_TERMS = 5000
 _LEXICON_TYPE = "array<struct<name string, order int, terms map<string, double>>>"
@@ -80,8 +81,8 @@ def category_by_join(df: DataFrame, lexicon: DataFrame, key: str, content: str)
         df.select(key, F.explode(text.tokens(F.col(content))).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(lexicon, "term")
     )
+    hits = lookup_join(hits, lexicon, "term", key)
     scored = hits.groupBy(key, "category").agg(F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("score"))
     best = scored.groupBy(key).agg(
         F.max_by("category", F.struct("score", F.try_element_at(order, F.col("category")))).alias("best")

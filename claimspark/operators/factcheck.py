@@ -192,11 +192,8 @@ def fact_check(
             F.array().cast(f"array<{REVIEW_RESULT.simpleString()}>").alias("fact_check_results"),
             F.lit("Unsure").alias("overall_status"),
         )
-    with_claims = articles.withColumn(
-        "claims",
-        F.coalesce(claim_list(F.col(summary), max_claims), F.array().cast("array<string>")),
-    )
-    exploded = explode_claims(with_claims, key)
+    claims = claim_list(F.col(summary), max_claims)
+    exploded = explode_claims(articles, key, claims)
     if threshold is None:
         matched = match_exact(exploded, reviews, key)
     else:
@@ -210,7 +207,8 @@ def fact_check(
         return review_result(claim, review.isNotNull(), *[review[f] for f in _REVIEW_FIELDS])
 
     return (
-        with_claims.join(per_article, key, "left")
+        articles.join(per_article, key, "left")
+        .withColumn("claims", F.coalesce(claims, F.array().cast("array<string>")))
         .withColumn("fact_check_results", F.transform("claims", result))
         .withColumn("overall_status", status_vote(F.col("fact_check_results")))
         .drop("_matches")

@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
+BROADCAST_ROWS = 100_000
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; reads no more than that. This is an action."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: str, spread: str, how: str = "inner"
+) -> DataFrame:
+    """Join with a usually short, narrow ``right``: broadcast after a count, salted if it is long.
+
+    For tables whose size Spark cannot estimate, such as ones made from driver data.
+    """
+    if is_small(right):
+        return left.join(F.broadcast(right), on, how)
+    return salted_join(left, right, on, spread, how)
 
 
 def salted_join(

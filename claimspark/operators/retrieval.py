@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .joins import lookup_join, salted_join
 
 K1 = 1.2
 B = 0.75
@@ -29,15 +30,14 @@ def search_topk(
         topic, F.explode(F.array_distinct(text.tokens(F.col(topic)))).alias("token")
     ).distinct()
     wanted = terms.select("token").distinct()
-    tokenised = articles.select(key, text.tokens(F.col(content)).alias("tokens"))
-    corpus = tokenised.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean_len")
-    )
+    tokens = text.tokens(F.col(content))
+    length = F.size(tokens)
+    corpus = articles.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_len"))
     size, mean_len = corpus.select("n").scalar(), corpus.select("mean_len").scalar()
 
+    words = articles.select(key, length.alias("len"), F.explode(tokens).alias("token"))
     counts = (
-        tokenised.select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-        .join(wanted, "token", "left_semi")
+        lookup_join(words, wanted, "token", key, "left_semi")
         .groupBy(key, "len", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -52,7 +52,7 @@ def search_topk(
     part = F.col("idf") * F.col("tf") * (K1 + 1) / damped
     best = Window.partitionBy(topic).orderBy(F.desc("score"), key)
     return (
-        counts.join(weights, "token")
+        salted_join(counts, weights, "token", key)
         .groupBy(topic, key)
         .agg(F.round(F.sum(part), 6).alias("score"))
         .withColumn("rank", F.row_number().over(best))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -13,38 +13,32 @@ MAX_SENTENCES = 3
 
 
 def extractive_summary(
-    df: DataFrame,
-    key: str = "article_id",
-    content: str = "content",
-    max_chars: int | None = MAX_CHARS,
-    max_sentences: int = MAX_SENTENCES,
-) -> DataFrame:
-    """``key, summary``: the sentences whose words are most frequent in the article, in order.
-
-    A sentence scores the mean frequency of its tokens within the text that is summarised.
-    ``summary`` is null for a text without any sentence. ``key`` must be unique.
-
-    The text is shuffled once, by key and before it is taken apart; the window, both
-    aggregations and the join that follow need the same partitioning and add no exchange.
+    content: Column, max_chars: int = MAX_CHARS, max_sentences: int = MAX_SENTENCES
+) -> Column:
+    """The sentences whose words are most frequent in the text, in order; null without sentences.
+
+    A sentence scores the mean frequency of its tokens within the summarised text, its first
+    ``max_chars`` characters. Ties go to the earlier sentence. That text is short, so counting
+    inside the row beats taking it apart: no rows are made, sorted or shuffled.
     """
-    body = F.col(content) if max_chars is None else F.substring(content, 1, max_chars)
-    base = df.select(key, text.sentences(body).alias("sentences")).repartition(F.col(key))
-    words = (
-        base.select(key, F.posexplode("sentences").alias("pos", "sentence"))
-        .select(key, "pos", F.explode(text.tokens(F.col("sentence"))).alias("token"))
-        .withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy(key, "token")))
-    )
-    scored = words.groupBy(key, "pos").agg(F.round(F.avg("freq"), 6).alias("score"))
-    ranking = Window.partitionBy(key).orderBy(F.desc("score"), "pos")
-    top = (
-        scored.withColumn("rank", F.row_number().over(ranking))
-        .where(F.col("rank") <= max_sentences)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list("pos")).alias("chosen"))
-    )
-    picked = F.transform("chosen", lambda p: F.get("sentences", p))
-    summary = F.concat(F.array_join(picked, ". "), F.lit("."))
-    return base.join(top, key, "left").select(key, summary.alias("summary"))
+    body = F.substring(content, 1, max_chars)
+
+    def scored(counts: Column) -> Column:
+        def entry(sentence: Column, pos: Column) -> Column:
+            def mean(own: Column) -> Column:
+                total = F.aggregate(own, F.lit(0.0), lambda sum_, token: sum_ + F.element_at(counts, token))
+                return F.round(total / F.nullif(F.size(own), F.lit(0)), 6)
+
+            rank = -text.bind(text.tokens(sentence), mean)
+            return F.struct(rank.alias("rank"), pos.alias("pos"), sentence.alias("sentence"))
+
+        entries = F.filter(F.transform(text.sentences(body), entry), lambda e: e["rank"].isNotNull())
+        best = F.slice(F.array_sort(entries), 1, max_sentences)
+        in_order = F.array_sort(F.transform(best, lambda e: F.struct(e["pos"], e["sentence"])))
+        return F.array_join(F.transform(in_order, lambda e: e["sentence"]), ". ")
+
+    summary = text.bind(text.token_counts(text.tokens(body)), scored)
+    return text.bind(summary, lambda s: F.when(s != "", F.concat(s, F.lit("."))))
 
 
 def with_summary(articles: DataFrame, summaries: DataFrame, key: str = "article_id") -> DataFrame:

@@ -14,56 +14,69 @@ KEY = "article_id"
 
 def summarised(scraped: DataFrame) -> DataFrame:
     """Scraped articles with an extractive summary."""
-    return summarize.with_summary(scraped, summarize.extractive_summary(scraped))
+    summary = summarize.extractive_summary(F.col("content"))
+    return scraped.withColumn("summary", summarize.summary_or_failed(summary))
 
 
-def classified_by_rules(checked: DataFrame) -> DataFrame:
+def classified_by_rules(checked: DataFrame, articles: DataFrame) -> DataFrame:
     """Fact-checked articles with category, themes, mood and scores from the built-in rules."""
-    results = F.col("fact_check_results")
-    ranked = themes.key_themes(checked.select(KEY, "summary"), KEY, "summary")
+    ranked = themes.key_themes(articles.select(KEY, "summary"), KEY, "summary")
     return (
-        checked.withColumns(
-            {
-                "classification": classify.category(F.col("summary")),
-                "confidence": classify.confidence(results),
-                "analysis_notes": classify.notes(results),
-                "sentiment": classify.sentiment(F.col("summary")),
-                "credibility_score": classify.credibility(results),
-            }
-        )
+        rule_columns(checked)
         .join(ranked, KEY, "left")
         .withColumn("key_themes", F.coalesce("key_themes", F.array().cast("array<string>")))
     )
 
 
-def classified_by_model(checked: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Fact-checked articles with the parsed answers of a model.
+def rule_columns(checked: DataFrame) -> DataFrame:
+    """What the rules find in an article by itself: all but the themes."""
+    results = F.col("fact_check_results")
+    return checked.withColumns(
+        {
+            "classification": classify.category(F.col("summary")),
+            "confidence": classify.confidence(results),
+            "analysis_notes": classify.notes(results),
+            "sentiment": classify.sentiment(F.col("summary")),
+            "credibility_score": classify.credibility(results),
+        }
+    )
+
+
+def classified_by_model(
+    ask: Callable[[DataFrame], DataFrame],
+) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Classification by the parsed answers of a model.
 
     ``ask`` gets ``article_id, prompt`` and returns ``article_id, response``; ``enrich`` makes
     such a function from a client. An article without an answer gets the failure row.
     """
-    prompt = prompts.classification_prompt(
-        F.col("url"), F.col("title"), F.col("summary"), F.col("overall_status"), F.col("fact_check_results")
-    )
-    answers = ask(checked.select(KEY, prompt.alias("prompt"))).select(KEY, "response")
-    return responses.parse_responses(checked.join(answers, KEY, "left")).drop("response", "parsed_ok")
+
+    def classify_articles(checked: DataFrame, articles: DataFrame) -> DataFrame:
+        prompt = prompts.classification_prompt(
+            F.col("url"), F.col("title"), F.col("summary"), F.col("overall_status"),
+            F.col("fact_check_results"),
+        )
+        answers = ask(checked.select(KEY, prompt.alias("prompt"))).select(KEY, "response")
+        return responses.parse_responses(checked.join(answers, KEY, "left"))
+
+    return classify_articles
 
 
 def analyse_scraped(
     scraped: DataFrame,
     reviews: DataFrame | None,
     summarise: Callable[[DataFrame], DataFrame] = summarised,
-    classify_articles: Callable[[DataFrame], DataFrame] = classified_by_rules,
+    classify_articles: Callable[[DataFrame, DataFrame], DataFrame] = classified_by_rules,
     threshold: float | None = None,
 ) -> DataFrame:
     """The analysed-article rows of scraped articles.
 
-    Content stays out of the claim, vote and theme shuffles and is joined back last.
+    Claims and tokens are shuffled as narrow rows next to the articles. The articles themselves,
+    content included, move at most once, by key, to meet their matched claims and themes.
     """
-    narrow = summarise(scraped).drop("content")
-    checked = factcheck.fact_check(narrow, reviews, KEY, threshold=threshold)
-    done = classify_articles(checked).join(scraped.select(KEY, "content"), KEY)
-    return done.select(
+    articles = summarise(scraped)
+    checked = factcheck.fact_check(articles, reviews, KEY, threshold=threshold)
+    return classify_articles(checked, articles).select(
         KEY, "url", "title", "content", "summary", "claims", "fact_check_results",
         F.coalesce("overall_status", F.lit("Unsure")).alias("overall_fact_status"),
         "classification", "confidence", "key_themes", "analysis_notes", "sentiment",

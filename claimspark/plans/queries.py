@@ -221,7 +221,8 @@ def review_json(spark, folder):
 
 @query
 def extractive_summary(spark, folder):
-    return summarize.extractive_summary(_articles(spark, folder))
+    summary = summarize.extractive_summary(F.col("content"))
+    return _articles(spark, folder).select(KEY, summary.alias("summary"))
 
 
 @query
@@ -254,7 +255,7 @@ def classification_prompt(spark, folder):
 @query
 def claims_query(spark, folder):
     docs = tables.articles(spark, folder)
-    return claims.explode_claims(docs.select(KEY, claims.claim_list(F.col("text")).alias("claims")), KEY)
+    return claims.explode_claims(docs, KEY, claims.claim_list(F.col("text")))
 
 
 REGISTRY["claims"] = REGISTRY.pop("claims_query")
@@ -592,18 +593,8 @@ def _whole_text_summary(scraped: DataFrame) -> DataFrame:
     return scraped.withColumn("summary", F.col("content"))
 
 
-def _lexicon_only(checked: DataFrame) -> DataFrame:
-    results = F.col("fact_check_results")
-    return checked.withColumns(
-        {
-            "classification": classify.category(F.col("summary")),
-            "confidence": classify.confidence(results),
-            "key_themes": F.array().cast("array<string>"),
-            "analysis_notes": classify.notes(results),
-            "sentiment": classify.sentiment(F.col("summary")),
-            "credibility_score": classify.credibility(results),
-        }
-    )
+def _without_themes(checked: DataFrame, articles: DataFrame) -> DataFrame:
+    return analysis.rule_columns(checked).withColumn("key_themes", F.array().cast("array<string>"))
 
 
 @query
@@ -614,7 +605,7 @@ def stream_equals_batch(spark, folder):
     reviews = tables.reviews(spark, folder)
 
     def analyse(batch: DataFrame) -> DataFrame:
-        return analysis.analyse_scraped(batch, reviews, _whole_text_summary, _lexicon_only)
+        return analysis.analyse_scraped(batch, reviews, _whole_text_summary, _without_themes)
 
     arrived = ingest.scraped_stream(ingest.read_pages(spark, f"{work}/in"))
     run = ingest.ingest(arrived, analyse, f"{work}/store", f"{work}/checkpoint", "pages", lambda batch: _run_ts())

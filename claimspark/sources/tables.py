@@ -9,8 +9,23 @@ from ..functions import text
 from ..schemas import CATEGORIES, CONFIDENCES, SENTIMENTS
 
 
+# Tables whose rows cost much more to work on than to move, with their keys.
+_TEXT_KEYS = {"pages": "page_id", "documents": "doc_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df, _TEXT_KEYS[name]) if name in _TEXT_KEYS else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hash-partitioned by its key if it comes in fewer splits than there are cores.
+
+    A file of one row group is one split, however many cores wait for it. Tables that fill the
+    cluster are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, F.col(key))
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
