@@ -35,7 +35,9 @@ def search_topk(
     corpus = articles.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean_len"))
     size, mean_len = corpus.select("n").scalar(), corpus.select("mean_len").scalar()
 
-    words = articles.select(key, length.alias("len"), F.explode(tokens).alias("token"))
+    # The length comes first: next to the generator it would be computed again for every token.
+    sized = articles.select(key, content, length.alias("len"))
+    words = sized.select(key, "len", F.explode(tokens).alias("token"))
     counts = (
         lookup_join(words, wanted, "token", key, "left_semi")
         .groupBy(key, "len", "token")

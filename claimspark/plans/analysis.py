@@ -68,13 +68,19 @@ def analyse_scraped(
     summarise: Callable[[DataFrame], DataFrame] = summarised,
     classify_articles: Callable[[DataFrame, DataFrame], DataFrame] = classified_by_rules,
     threshold: float | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The analysed-article rows of scraped articles.
 
     Claims and tokens are shuffled as narrow rows next to the articles. The articles themselves,
     content included, move at most once, by key, to meet their matched claims and themes.
+
+    Claims, themes and the rows themselves each read the summarised articles. ``keep``, such as
+    ``session.written``, stores them once; without it each reader scrapes the pages again.
     """
     articles = summarise(scraped)
+    if keep is not None:
+        articles = keep(articles)
     checked = factcheck.fact_check(articles, reviews, KEY, threshold=threshold)
     return classify_articles(checked, articles).select(
         KEY, "url", "title", "content", "summary", "claims", "fact_check_results",

@@ -27,7 +27,7 @@ from ..operators import (
     themes,
 )
 from ..schemas import ARTICLE_LOG, CATEGORIES, CLAIM_STATUSES, CONFIDENCES, SENTIMENTS
-from ..session import configure, shared_dir
+from ..session import configure, shared_dir, written
 from ..sources import responses as service
 from ..sources import tables
 from ..streaming import ingest
@@ -586,7 +586,8 @@ def _flat(analysed: DataFrame) -> DataFrame:
 @query
 def analysed_articles(spark, folder):
     """All stages from pages to analysed articles."""
-    return _flat(analysis.analyse_pages(tables.pages(spark, folder), tables.reviews(spark, folder)))
+    pages, reviews = tables.pages(spark, folder), tables.reviews(spark, folder)
+    return _flat(analysis.analyse_pages(pages, reviews, keep=written))
 
 
 def _whole_text_summary(scraped: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may change while a session runs.
 RUNTIME_CONF = {
@@ -63,9 +64,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def checkpointed(df):
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written once to the shared folder.
+
+    For a result that several branches of a plan read: each branch then scans only the columns
+    it needs instead of computing the rows again, and lost executors cost no recomputation.
+    The table stays for the folder's owner to expire.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
