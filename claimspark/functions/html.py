@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +42,8 @@ TAG = r"(?s)<[^>]*>"
 
 
 def decode_entities(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    pairs = F.from_json(F.lit(json.dumps(ENTITIES)), "array<array<string>>")
+    return F.aggregate(pairs, c, lambda done, pair: F.replace(done, pair[0], pair[1]))
 
 
 def _plain(markup: Column) -> Column:

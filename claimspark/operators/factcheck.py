@@ -7,6 +7,8 @@ the result list with its defaults for unmatched claims is built inside the artic
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,18 +107,29 @@ def _prefix_len(n: Column, threshold: float) -> Column:
     return (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int")
 
 
-def match_fuzzy(claims: DataFrame, reviews: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+def match_fuzzy(
+    claims: DataFrame,
+    reviews: DataFrame,
+    key: str,
+    threshold: float = 0.5,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``key, pos, review, score`` of the best review by Jaccard similarity of token sets.
 
     Exact: no candidate is lost. Copies of a claim are first reduced to one. Tokens are ordered
     by how many reviews hold them, rarest first; tokens that no review holds come before all
     others and produce no candidates. Only the prefix of each set goes to the token join, as
     narrow rows; the sets come back for the candidate pairs alone.
+
+    Several steps read the claims. ``keep``, such as ``session.written``, stores their keys and
+    normalised texts once; without it each step takes the articles apart again.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     keyed = claims.select(key, "pos", text.normalised(F.col("claim")).alias("norm"))
     keyed = keyed.where(F.col("norm") != "")
+    if keep is not None:
+        keyed = keep(keyed)
     sets = _token_sets(keyed.select("norm").distinct())
     index = review_index(reviews)
     review_sets = _token_sets(index.select("norm")).select(
@@ -179,6 +192,7 @@ def fact_check(
     summary: str = "summary",
     max_claims: int | None = MAX_CLAIMS,
     threshold: float | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Adds ``claims, fact_check_results, overall_status``; ``key`` must be unique.
 
@@ -197,7 +211,7 @@ def fact_check(
     if threshold is None:
         matched = match_exact(exploded, reviews, key)
     else:
-        matched = match_fuzzy(exploded, reviews, key, threshold)
+        matched = match_fuzzy(exploded, reviews, key, threshold, keep)
     per_article = matched.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "review"))).alias("_matches")
     )

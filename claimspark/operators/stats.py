@@ -87,8 +87,8 @@ def workflow_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def session_stats(df: DataFrame, *by: str) -> DataFrame:
-    """Articles found and counts per store status, one row per group."""
+def session_stats(df: DataFrame, *by: str, **more: Column) -> DataFrame:
+    """Articles found and counts per store status, one row per group; ``more`` aggregates go along."""
     status = F.col("fact_myth_status")
     fact, myth, unclear = STORE_STATUSES
     return df.groupBy(*by).agg(
@@ -96,6 +96,7 @@ def session_stats(df: DataFrame, *by: str) -> DataFrame:
         F.count_if(status == fact).alias("facts_count"),
         F.count_if(status == myth).alias("myths_count"),
         F.count_if(status == unclear).alias("unclear_count"),
+        *[value.alias(name) for name, value in more.items()],
     )
 
 

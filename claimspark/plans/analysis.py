@@ -81,7 +81,7 @@ def analyse_scraped(
     articles = summarise(scraped)
     if keep is not None:
         articles = keep(articles)
-    checked = factcheck.fact_check(articles, reviews, KEY, threshold=threshold)
+    checked = factcheck.fact_check(articles, reviews, KEY, threshold=threshold, keep=keep)
     return classify_articles(checked, articles).select(
         KEY, "url", "title", "content", "summary", "claims", "fact_check_results",
         F.coalesce("overall_status", F.lit("Unsure")).alias("overall_fact_status"),

@@ -97,10 +97,8 @@ def _sessions(spark: SparkSession, folder: str) -> DataFrame:
     """One session per source and language; its time comes from the last article."""
     topic = F.regexp_extract("url", "//(.*)/[^/]*$", 1)
     rows = _analysed(spark, folder).withColumn("topic", topic)
-    counts = stats.session_stats(rows, "topic")
-    times = rows.groupBy("topic").agg(F.max(KEY).alias("last"))
-    at = F.timestamp_add("MINUTE", F.col("last"), F.lit("2024-01-01").cast("timestamp_ntz"))
-    return counts.join(times, "topic").select(*counts.columns, at.alias("created_at"))
+    at = F.timestamp_add("MINUTE", F.max(KEY), F.lit("2024-01-01").cast("timestamp_ntz"))
+    return stats.session_stats(rows, "topic", created_at=at)
 
 
 def _submitted(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,7 +272,7 @@ def claim_review_exact(spark, folder):
 @query
 def claim_review_fuzzy(spark, folder):
     hits = factcheck.match_fuzzy(
-        _exploded(spark, folder), tables.reviews(spark, folder), KEY, FUZZY_THRESHOLD
+        _exploded(spark, folder), tables.reviews(spark, folder), KEY, FUZZY_THRESHOLD, keep=written
     )
     return hits.select(KEY, "pos", "review.review_id", "score")
 
