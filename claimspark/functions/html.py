@@ -30,15 +30,18 @@ ENTITIES = [
     ("&gt;", ">"),
     ("&amp;", "&"),
 ]
-ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
-BODY = r"(?is)<body\b[^>]*>(.*)</body>"
-INVISIBLE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+# Every pattern matches from the first opening mark on, an unclosed element reaching to the end of
+# the page, and no tag reaches over another opening bracket. So a page is read in linear time
+# however broken it is.
+ARTICLE = r"(?is)<article\b[^<>]*>(.*?)(?:</article>|\z)"
+BODY = r"(?is)<body\b[^<>]*>(.*?)(?:</body>|\z)"
+INVISIBLE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)"
 CHROME = (
-    r"(?is)<head\b.*?</head>|<nav\b.*?</nav>|<header\b.*?</header>|"
-    r"<footer\b.*?</footer>|<aside\b.*?</aside>"
+    r"(?is)<title\b.*?(?:</title>|\z)|<nav\b.*?(?:</nav>|\z)|<header\b.*?(?:</header>|\z)|"
+    r"<footer\b.*?(?:</footer>|\z)|<aside\b.*?(?:</aside>|\z)"
 )
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
-TAG = r"(?s)<[^>]*>"
+TITLE = r"(?is)<title\b[^<>]*>(.*?)(?:</title>|</head>|<body\b|\z)"
+TAG = r"<[^<>]*>"
 
 
 def decode_entities(c: Column) -> Column:
@@ -71,7 +74,7 @@ def title(html: Column) -> Column:
 
 
 def _meta_tag(names: str) -> str:
-    return rf"(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*[\"'](?:{names})[\"'][^>]*>"
+    return rf"(?is)<meta\b[^<>]*\b(?:name|property)\s*=\s*[\"'](?:{names})[\"'][^<>]*>"
 
 
 CONTENT_ATTRIBUTE = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"

@@ -120,6 +120,20 @@ def summary_metrics(df: DataFrame, failure_mark: str = SUMMARY_FAILED) -> DataFr
     )
 
 
+def stage_counts(df: DataFrame) -> DataFrame:
+    """One row: articles that went through all stages, and how many each stage worked on or failed."""
+    total = F.count(F.lit(1))
+    summary_failed = F.count_if(F.col("summary").eqNullSafe(SUMMARY_FAILED))
+    with_claims = F.count_if(F.coalesce(F.size("claims"), F.lit(0)) > 0)
+    classified = F.count_if(_succeeded())
+    return df.agg(
+        total.alias("articles"),
+        (total - summary_failed).alias("summarised"),
+        with_claims.alias("fact_checked"),
+        classified.alias("classified"),
+    )
+
+
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Counts of the values that occur, most frequent first, ties by value; nulls are left out."""
     return (

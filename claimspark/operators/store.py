@@ -60,12 +60,13 @@ def save_articles(articles: DataFrame, base: str, run: str, created_at: Column)
     _write_run(article_rows(articles, created_at), base, ARTICLES, run)
 
 
-def save_session(articles: DataFrame, base: str, run: str, topic: str, created_at: Column) -> None:
-    """One session row; the run is its id."""
+def save_session(articles: DataFrame, base: str, run: str, topic: str, created_at: Column) -> str:
+    """Write one session row and return its id, the run."""
     row = session_stats(articles).select(
         F.lit(topic).alias("topic"), "*", created_at.cast("timestamp_ntz").alias("created_at")
     )
     _write_run(row, base, SESSIONS, run)
+    return run
 
 
 def current_articles(log: DataFrame) -> DataFrame:

@@ -717,6 +717,11 @@ def all_sql() -> dict[str, str]:
                     count(*) FILTER (article_id % 10 <> 3) AS successful FROM analysed)""",
             "analysed",
         ),
+        "stage_counts": statement(
+            f"SELECT count(*) AS articles, count(*) FILTER (article_id % 10 <> 3) AS summarised, "
+            f"count(*) FILTER (len(key_claims) > 0) AS fact_checked, {SUCCEEDED} AS classified FROM analysed",
+            "analysed",
+        ),
         "status_distribution": statement(
             "SELECT fact_myth_status, count(*) AS n FROM analysed WHERE fact_myth_status IS NOT NULL GROUP BY 1",
             "analysed",

@@ -454,6 +454,11 @@ def _analysed_with_failures(spark, folder):
     return _analysed(spark, folder).withColumn("summary", failed)
 
 
+@query
+def stage_counts(spark, folder):
+    return stats.stage_counts(_analysed_with_failures(spark, folder))
+
+
 @query
 def status_distribution(spark, folder):
     return stats.value_distribution(_analysed(spark, folder), "fact_myth_status")

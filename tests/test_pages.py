@@ -1,6 +1,8 @@
+import time
+
 from pyspark.sql import functions as F
 
-from claimspark.functions import html
+from claimspark.functions import html, text
 from claimspark.operators import scrape
 from claimspark.schemas import PAGES
 
@@ -63,3 +65,23 @@ def test_page_text_is_worked_on_once(spark):
     df = scrape.scrape(pages(spark, [(1, "https://x.org/a", LONG)])).where(F.col("title") != "")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(html.INVISIBLE[:20]) == 1
+
+
+def test_broken_pages_are_read_in_linear_time(one):
+    """Many opening marks without a closing one: a quadratic scan would take minutes."""
+    size = 100_000
+    marks = ["<script ", "<!-- ", "<article ", "<", "<meta ", "<title>", "<nav ", "<p>x"]
+    broken = [mark * size for mark in marks]
+    start = time.monotonic()
+    texts = one(html.main_text, broken)
+    one(html.title, broken)
+    one(lambda c: html.meta(c, "author"), broken)
+    one(text.strip, ["a" + " " * size + "b"])
+    assert time.monotonic() - start < 60
+    assert texts[0] == texts[1] == "" and len(texts[7]) == 2 * size - 1
+
+
+def test_unclosed_elements_reach_to_the_end(one):
+    assert one(html.main_text, ["<p>in</p><script>x"]) == ["in"]
+    assert one(html.main_text, ["<article>all <b>of</b> it"]) == ["all of it"]
+    assert one(html.title, ["<head><title>Open</head><body>text"]) == ["Open"]
