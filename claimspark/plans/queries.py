@@ -367,21 +367,20 @@ def parse_responses(spark, folder):
     return _parsed(spark, folder).withColumn("key_themes", _joined("key_themes"))
 
 
-def _word_counter():
-    """A stand-in client: counts words, and refuses some rows."""
-
-    def count(row):
-        if row[KEY] % 7 == 3:
-            raise ValueError("refused")
-        return {"words": len(row["text"].split())}
+@query
+def enrich_local(spark, folder):
+    """A stand-in client that counts words and refuses some rows."""
 
-    return count
+    def client():
+        def count(row):
+            if row[KEY] % 7 == 3:
+                raise ValueError("refused")
+            return {"words": len(row["text"].split())}
 
+        return count
 
-@query
-def enrich_local(spark, folder):
     docs = tables.articles(spark, folder).select(KEY, "text")
-    return enrich.enrich(docs, _word_counter, "words BIGINT", {"words": -1}, backoff=0.0).drop("text")
+    return enrich.enrich(docs, client, "words BIGINT", {"words": -1}, backoff=0.0).drop("text")
 
 
 # --- statistics ------------------------------------------------------------------------------
