@@ -43,10 +43,12 @@ REGISTRY: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
+    """Register a query under its name, less a trailing underscore that avoids a module's name."""
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return fn(configure(spark), folder)
 
-    REGISTRY[fn.__name__] = run
+    REGISTRY[fn.__name__.removesuffix("_")] = run
     return fn
 
 
@@ -251,28 +253,21 @@ def classification_prompt(spark, folder):
 
 
 @query
-def claims_query(spark, folder):
+def claims_(spark, folder):
     docs = tables.articles(spark, folder)
     return claims.explode_claims(docs, KEY, claims.claim_list(F.col("text")))
 
 
-REGISTRY["claims"] = REGISTRY.pop("claims_query")
-
-
-def _exploded(spark, folder):
-    return REGISTRY["claims"](spark, folder)
-
-
 @query
 def claim_review_exact(spark, folder):
-    hits = factcheck.match_exact(_exploded(spark, folder), tables.reviews(spark, folder), KEY)
+    hits = factcheck.match_exact(claims_(spark, folder), tables.reviews(spark, folder), KEY)
     return hits.select(KEY, "pos", "review.review_id")
 
 
 @query
 def claim_review_fuzzy(spark, folder):
     hits = factcheck.match_fuzzy(
-        _exploded(spark, folder), tables.reviews(spark, folder), KEY, FUZZY_THRESHOLD, keep=written
+        claims_(spark, folder), tables.reviews(spark, folder), KEY, FUZZY_THRESHOLD, keep=written
     )
     return hits.select(KEY, "pos", "review.review_id", "score")
 
