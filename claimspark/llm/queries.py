@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import decontaminate as decontamination
+from . import linededup, pieces, quality
 from . import shard as sharding
 from .tables import benchmark, documents
 
+PIECES_MODEL = "piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -45,3 +48,32 @@ def op2_shard(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = linededup.dedup_lines(documents(spark, folder).select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def pieces_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES_MODEL)
+
+
+@query
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    out = pieces.encode(documents(spark, folder).select("doc_id", "text"), pieces_model())
+    return out.select(
+        "doc_id", pieces.n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "library_agrees",
+    )
+
+
+@query
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality.judge(documents(spark, folder).select("doc_id", "text", "source"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept",
+    )

@@ -3,3 +3,50 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+# White space as in the operators: U+0020 and U+0009 to U+000D.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_RUN = r"'[\x20\x09-\x0D]+'"
+
+
+def _normal(c: str) -> str:
+    return f"regexp_replace(trim({c}, {_BLANKS}), {_RUN}, ' ', 'g')"
+
+
+ORACLES["op3_line_dedup"] = f"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, * FROM documents),
+split AS (SELECT r, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM docs),
+lines AS (SELECT r, coalesce(source, chr(0) || 'null') AS site, pos, ls[pos] AS raw, {_normal('ls[pos]')} AS line
+          FROM (SELECT r, source, ls, unnest(range(1, len(ls) + 1)) AS pos FROM split)),
+spread AS (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 8),
+marked AS (SELECT l.*, s.line IS NOT NULL AND row_number() OVER (PARTITION BY l.line ORDER BY r, pos) > 1 AS gone
+           FROM lines l LEFT JOIN spread s ON l.line = s.line),
+kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed_lines,
+         coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY r)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_removed_lines, sha256(k.text) AS kept_sha256
+FROM docs d JOIN kept k ON d.r = k.r
+"""
+
+ORACLES["op9_quality_rules"] = f"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS text,
+              coalesce(source, chr(0) || 'null') AS host FROM documents),
+ws AS (SELECT r, list_filter(string_split_regex(text, {_RUN}), lambda x: x <> '') AS w FROM docs),
+win AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM ws)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM rep) GROUP BY r),
+lines AS (SELECT r, host, l, {_normal('l')} AS line FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS l FROM docs)),
+wordy AS (SELECT *, len(string_split(line, ' ')) AS words FROM lines WHERE line <> ''),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM wordy GROUP BY r),
+above AS (SELECT host, line FROM wordy JOIN (SELECT host, count(*) AS docs FROM docs GROUP BY host) USING (host)
+          GROUP BY host, line, docs HAVING count(DISTINCT r) > 20 AND count(DISTINCT r) * 1000 > docs * 5),
+gone AS (SELECT r, sum(words) AS n_removed_words FROM wordy JOIN above USING (host, line) GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words,
+      length(regexp_replace(text, {_RUN}, '', 'g')) AS word_chars,
+      length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+      coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+      CAST(coalesce(n_removed_words, 0) AS BIGINT) AS n_removed_words
+      FROM docs JOIN ws USING (r) LEFT JOIN cov USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 10
+          AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept FROM f
+"""
