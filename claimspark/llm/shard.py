@@ -88,17 +88,17 @@ def _cartons(capacity: int):
 def shard(
     docs: DataFrame, text: str = "text", shards: int = SHARDS, cartons: int = CARTONS, slot_rows: int = SLOT_ROWS
 ) -> DataFrame:
-    """``docs`` with ``size, text_crc32, shard, slot``: shards of nearly equal bytes.
+    """``docs`` less the text, with ``size, text_crc32, shard, slot``: shards of nearly equal bytes.
 
     Rows of equal text are one group and stay together; all null texts are a group, as are all
     empty ones. A group larger than a carton is packed on the second level; one larger than a
     shard's fair share cannot be whole in shards of equal size and is dealt by row in pieces of
     carton size. Slots count from 0 without gaps in each shard; their order has no meaning.
-    Repeated rows are each placed. An empty table gives an empty table. Input columns stay, but
-    those named like a new one are replaced.
+    Repeated rows are each placed. An empty table gives an empty table. The text is
+    read once and does not move. Other columns stay, but those named like a new one are replaced.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
-    rows = numbered(docs.withColumns({"size": size, "text_crc32": F.crc32(F.coalesce(text, F.lit(""))), "_key": F.coalesce(F.sha2(text, 256), F.lit("null"))}))
+    rows = numbered(docs.withColumns({"size": size, "text_crc32": F.crc32(F.coalesce(text, F.lit(""))), "_key": F.coalesce(F.sha2(text, 256), F.lit("null"))}).drop(text))
     groups = written(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     total, n = groups.agg(F.sum("bytes"), F.sum("rows")).first()
     share = max(1, math.ceil((total or 0) / shards))
