@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import decontaminate as decontamination
-from . import linededup, pieces, quality
+from . import linededup, minhash, pieces, quality
 from . import shard as sharding
-from .tables import benchmark, documents
+from .tables import ROW, benchmark, documents
 
 PIECES_MODEL = "piece_bpe_32k.model"
 
@@ -56,6 +56,13 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
+    out = minhash.near_duplicates(docs)
+    return out.select("doc_id", F.col("class_row").alias("class_id"), "in_class", (F.col(ROW) == F.col("class_row")).alias("kept"))
+
+
 def pieces_model() -> str:
     import public_tokenizers
 
