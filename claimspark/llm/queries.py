@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import decontaminate as decontamination
-from . import linededup, minhash, pieces, quality
+from . import linededup, minhash, pieces, quality, repeats
 from . import shard as sharding
 from .tables import ROW, benchmark, documents
 
@@ -84,3 +84,12 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept",
     )
+
+
+@query
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    out = repeats.remove_repeats(documents(spark, folder).select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_bytes", repeats.n_removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
