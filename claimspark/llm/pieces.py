@@ -13,6 +13,8 @@ by side as arrays, each with its own agenda of ranks; long ones use a heap.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -26,8 +28,9 @@ from .tables import schema_with
 
 SPACE = "▁"
 LONG = 48  # symbols of a chunk from which it gets a heap of its own
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000  # of each of two generations
 _NONE = np.int32(2**31 - 1)
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class Vocabulary:
@@ -71,6 +74,7 @@ class Vocabulary:
         self.chunk = re.compile(r" *[^ \n]+|\n| +" if splits else r"(?s).+")
         self.bytes_of = [b"" if lib.is_control(i) else bytes([int(name[3:5], 16)]) if lib.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _code(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return left.astype(np.int64) * self.base + right
@@ -164,8 +168,15 @@ class Vocabulary:
         """Ids of each text with those of begin and end, four little-endian bytes each."""
         split = [self.chunk.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        new = [c for c in set().union(*split) if c not in self.cache]
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        new = []
+        for c in set().union(*split):
+            if c not in cache:
+                if c in older:
+                    cache[c] = older[c]
+                else:
+                    new.append(c)
         short = [c for c in new if len(c) < LONG]
         if short:
             self.cache.update(zip(short, self.merge_many([c.replace(" ", SPACE) for c in short]), strict=True))
@@ -210,7 +221,7 @@ def _run(shared):
             checked = vocabulary.library.encode(plain, add_bos=True, add_eos=True, num_threads=1)
             back = vocabulary.library.decode(checked, num_threads=1)
             for k, (own, other) in enumerate(zip(ids, checked, strict=True)):
-                theirs = np.array(other, "<u4").tobytes()
+                theirs = array("I", other).tobytes() if _LITTLE else np.array(other, "<u4").tobytes()
                 same = own == theirs and decoded[k].decode() == back[k]
                 agrees.append(same)
                 if not same:
