@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import decontaminate as decontamination
-from . import linededup, minhash, pieces, quality, repeats
+from . import hmm, languages, linededup, minhash, pieces, quality, repeats, toxicity
 from . import shard as sharding
-from .tables import ROW, benchmark, documents
+from .tables import ROW, benchmark, documents, labels
 
 PIECES_MODEL = "piece_bpe_32k.model"
 
@@ -27,6 +27,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def held_out(folds: int, fold: int):
+    """Rows that nothing is learned from, by the id."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold
+
+
 @query
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
@@ -93,3 +98,27 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", repeats.n_removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    model = toxicity.learn(docs, labels(spark, folder).where(~held_out(4, 2)))
+    out = toxicity.score(docs, model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", predicted)
+
+
+@query
+def op6_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    filters = languages.learn(docs.where(~held_out(3, 1)))
+    out = languages.identify(docs.select("doc_id", "text"), filters)
+    return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_hmm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    model = hmm.learn(docs.where(~held_out(7, 2)))
+    return hmm.score(docs.withColumn("held_out", held_out(7, 2)), model)
