@@ -11,9 +11,10 @@ string of ``length`` bytes, the one of least hash is its anchor (about one posit
 2. An anchor's context is all strings that have it as their anchor. Equal contexts are repeats
    whole. One of each, of grams with several contexts, stays in the sort.
 3. Sampled suffixes are sorted, to the right and, reversed, to the left of the anchor, and each is
-   compared with its neighbours: the longest common prefixes bound which starts can repeat.
-4. The starts within the bounds, usually none or a few of each context, are merged by the bytes up to
-   the anchor and from it on, and equal neighbours are repeats.
+   compared with its neighbours. The longest common prefixes bound which starts can repeat, and what
+   the left neighbour also shares to the right repeats for certain.
+4. The starts between, usually none or a few of a context, are merged by their bytes up to the
+   anchor and from it on, and equal neighbours are repeats.
 
 Bytes are compared by 64-bit and 128-bit hashes, except in the sort, which has the bytes.
 """
@@ -32,6 +33,7 @@ from .bloom import Filter, filter_of
 
 LENGTH = 200
 GRAM = 32
+MOST_PARTS = 5_000  # of the sorts: the driver compares two rows of each
 _SECOND = arrays.Powers(0x94D049BB133111EB | 1)
 _OTHER = arrays.mixed(arrays.BYTE_VALUE + np.uint64(0x632BE59BD9B4E019))
 
@@ -102,7 +104,7 @@ def _contexts(length: int, gram: int, shared):
             a, b = digests(texts, runs)
             doc = np.searchsorted(texts.offsets, low, "right") - 1
             base = texts.offsets[doc]
-            context = arrays.mixed(runs.get(low, high + length) ^ arrays.mixed((anchor - low).astype(np.uint64) + np.uint64(1)))
+            context = _context_keys(runs, anchor, low, high, length)
             yield _batch(
                 gram=hashes.view(np.int64), context=context.view(np.int64), a=a[doc], b=b[doc],
                 anchor=(anchor - base).astype(np.int32), low=(low - base).astype(np.int32), high=(high - base).astype(np.int32),
@@ -111,40 +113,43 @@ def _contexts(length: int, gram: int, shared):
     return run
 
 
-def _keyed(shared):
-    """Texts whose digest the filter knows."""
+def _pick(context: np.ndarray, a: np.ndarray) -> np.ndarray:
+    return arrays.mixed(context + arrays.mixed(a))
 
-    def run(batches):
-        known: Filter = shared.value
-        for batch, texts in arrays.slices(batches, "text"):
-            a, b = digests(texts)
-            keep = pa.array(known.has(a.view(np.uint64)))
-            yield _batch(a=a, b=b, text=batch.column(0)).filter(keep)
 
-    return run
+def _picks(batches):
+    for batch in batches:
+        yield _batch(pick=_pick(*(c.to_numpy().view(np.uint64) for c in batch.columns)).view(np.int64))
+
 
+def _sides(length: int, gram: int, shared):
+    """The bytes of contexts that the filter knows: to the right of the anchor, and to its left, nearest first.
 
-def _sides(length: int, gram: int):
-    """The bytes to the right of each anchor, and those to its left, nearest first."""
+    Copies of a text give the same rows.
+    """
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), arrays.views(batch.column(1))
-            out: dict[str, list] = {"id": [], "gram": [], "left": [], "right": [], "anchor": [], "low": [], "high": [], "single": []}
-            for i, wanted in enumerate(ids):
-                text = texts.text(i)
-                for x in wanted:
-                    at = x["anchor"]
-                    out["left"].append(text[max(0, at - (length - gram)) : at][::-1])
-                    out["right"].append(text[at : at + length])
-                    for name in ("id", "gram", "anchor", "low", "high", "single"):
-                        out[name].append(x[name])
-            types = {"left": pa.binary(), "right": pa.binary(), "id": pa.int64(), "gram": pa.int64(), "single": pa.bool_()}
-            yield _batch(**{n: pa.array(v, types.get(n, pa.int32())) for n, v in out.items()})
+        known: Filter = shared.value
+        for _, texts in arrays.slices(batches, "text"):
+            anchor, low, high, hashes, runs = _anchors(texts, length, gram)
+            context = _context_keys(runs, anchor, low, high, length)
+            doc = np.searchsorted(texts.offsets, low, "right") - 1
+            keep = np.flatnonzero(known.has(_pick(context, digests(texts, runs)[0].view(np.uint64)[doc])))
+            data = texts.data.tobytes()
+            places = list(zip(anchor[keep].tolist(), low[keep].tolist(), high[keep].tolist(), strict=True))
+            yield _batch(
+                id=context[keep].view(np.int64), gram=hashes[keep].view(np.int64),
+                left=pa.array([data[b:a][::-1] for a, b, _ in places], pa.binary()),
+                right=pa.array([data[a : c + length] for a, _, c in places], pa.binary()),
+            )
 
     return run
 
 
+def _context_keys(runs: arrays.Runs, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    return arrays.mixed(runs.get(low, high + length) ^ arrays.mixed((anchor - low).astype(np.uint64) + np.uint64(1)))
+
+
 def _common(x: bytes, y: bytes) -> int:
     n = min(len(x), len(y))
     if x[:n] == y[:n]:
@@ -156,85 +161,103 @@ def _common(x: bytes, y: bytes) -> int:
     return low
 
 
-def _neighbours(batches):
-    """Longest common prefix of each row with its neighbours of the same gram in the sorted partition.
+_NEIGHBOUR = "id long, gram long, text binary, other binary, reach int, beside int, edge boolean"
+
+
+def _compared(x: list, y: list) -> None:
+    """Enter in both rows how far they agree; beside: how far also on the other side, at that reach."""
+    if x[1] == y[1]:
+        reach, beside = _common(x[2], y[2]), _common(x[3], y[3])
+        for row in (x, y):
+            if (reach, beside) > (row[4], row[5]):
+                row[4:6] = reach, beside
 
-    The partition's first and last row are marked; they are compared across partitions later.
-    """
-    before, held = None, None
 
-    def ready(row, after, edge):
-        key, gram, text, reach = row
-        if after is not None and after[1] == gram:
-            reach = max(reach, _common(text, after[2]))
-        return key, gram, text if edge else None, reach, edge
+def _neighbours(batches):
+    """Rows of the sorted partition compared with their neighbours of the same gram.
 
-    first = True
+    Rows of the same id are one. The partition's first and last row keep their bytes and are marked;
+    they are compared across partitions later.
+    """
+    held, first, out = None, True, []
     for batch in batches:
-        out = []
-        for key, gram, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            row = [key, gram, text, 0]
+        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            row = [*values, 0, 0]
             if held is not None:
-                row[3] = _common(text, held[2]) if held[1] == gram else 0
-                out.append(ready(held, row, first))
+                if held[0] == row[0]:
+                    continue
+                _compared(held, row)
+                out.append(_plain(held, first))
                 first = False
             held = row
         yield _neighbour_batch(out)
+        out = []
     if held is not None:
-        yield _neighbour_batch([ready(held, None, True)])
+        yield _neighbour_batch([_plain(held, True)])
 
 
-def _neighbour_batch(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "gram", "text", "reach", "edge"])
+def _plain(row: list, edge: bool) -> list:
+    return [*row, edge] if edge else [row[0], row[1], None, None, row[4], row[5], False]
 
 
-def longest_common(sides: DataFrame, side: str) -> DataFrame:
-    """``id, reach``: how far each suffix agrees with another of its gram, by a global sort."""
-    rows = sides.select("id", "gram", side)
-    parts = max(1, min(2000, rows.sparkSession.conf.get("spark.sql.shuffle.partitions") and int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = rows.repartitionByRange(parts, "gram", side, "id").sortWithinPartitions("gram", side, "id")
-    found = written(ordered.mapInArrow(_neighbours, "id long, gram long, text binary, reach int, edge boolean"))
+def _neighbour_batch(rows: list) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+    names = [x.split()[0] for x in _NEIGHBOUR.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def longest_common(sides: DataFrame, side: str, other) -> DataFrame:
+    """``id, gram, reach, beside``: how far each suffix agrees with another of its gram, by a global sort."""
+    spark = sides.sparkSession
+    rows = sides.select("id", "gram", F.col(side).alias("text"), other.alias("other"))
+    keys = ("gram", "text", "other", "id")
+    parts = max(1, min(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = written(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_neighbours, _NEIGHBOUR))
     # Two rows of each partition at most.
-    edges = sorted((r["gram"], bytes(r["text"]), r["id"], r["reach"]) for r in found.where("edge").collect())
-    reach = {e[2]: e[3] for e in edges}
+    names = ("id", "gram", "text", "other", "reach", "beside")
+    edges = sorted(([r[n] if n not in ("text", "other") else bytes(r[n]) for n in names] for r in found.where("edge").collect()), key=lambda e: (*e[1:4], e[0]))
     for x, y in zip(edges, edges[1:], strict=False):
-        if x[0] == y[0]:
-            common = _common(x[1], y[1])
-            reach[x[2]], reach[y[2]] = max(reach[x[2]], common), max(reach[y[2]], common)
-    ends = rows.sparkSession.createDataFrame(list(reach.items()), "id long, reach int")
-    return found.where("not edge").select("id", "reach").unionByName(ends)
+        _compared(x, y)
+    ends = spark.createDataFrame([(e[0], e[1], e[4], e[5]) for e in edges], "id long, gram long, reach int, beside int")
+    return found.where("not edge").select("id", "gram", "reach", "beside").unionByName(ends)
 
 
 def _starts(length: int):
-    """Hashes of the strings at the starts within a context's bounds."""
+    """Hashes of the strings that begin ``low`` to ``high`` bytes before the anchor."""
 
     def run(batches):
         for batch in batches:
             x = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
             lefts, rights = arrays.views(x["left"]), arrays.views(x["right"])
-            anchor, low, high, to_left, to_right = (x[n].to_numpy() for n in ("anchor", "low", "high", "to_left", "to_right"))
-            first = np.maximum(low, anchor - to_left)
-            last = np.minimum(high, anchor + to_right - length)
+            low, high = x["low"].to_numpy(), x["high"].to_numpy()
             ids, at, a, b = [], [], [], []
-            for i in np.flatnonzero(first <= last).tolist():
+            for i in range(batch.num_rows):
                 left = lefts.text(i)[::-1]
                 text = np.frombuffer(left + rights.text(i), np.uint8)
-                begin = np.arange(first[i], last[i] + 1) - anchor[i] + len(left)
+                back = np.arange(low[i], high[i] + 1)
+                begin = len(left) - back
                 a.append(arrays.Runs(arrays.BYTE_VALUE[text], arrays.BYTE_POWERS).get(begin, begin + length))
                 b.append(arrays.Runs(_OTHER[text], _SECOND).get(begin, begin + length))
-                ids.append(np.full(len(begin), x["id"][i].as_py()))
-                at.append(np.arange(first[i], last[i] + 1))
+                ids.append(np.full(len(back), x["id"][i].as_py()))
+                at.append(back)
             if ids:
                 yield _batch(
-                    id=np.concatenate(ids).astype(np.int64), start=np.concatenate(at).astype(np.int32),
+                    id=np.concatenate(ids).astype(np.int64), back=np.concatenate(at).astype(np.int32),
                     sa=np.concatenate(a).view(np.int64), sb=np.concatenate(b).view(np.int64),
                 )
 
     return run
 
 
+def _of_known_grams(shared):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column(1).to_numpy().view(np.uint64))))
+
+    return run
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``a, b, start, stop``: byte spans, which may overlap, of repeats in the text of each digest.
 
@@ -256,28 +279,34 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spans = spans.select("a", "b", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))
 
     several = contexts.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram")
-    sampled = salted_join(contexts, several, "gram", "context")
-    single = (F.col("n") == 1).alias("single")
-    sampled = written(sampled.select(F.col("context").alias("id"), "gram", single, "at.*"))
-    wanted = sampled.groupBy("a", "b").agg(F.collect_list(F.struct("id", "gram", "anchor", "low", "high", "single")).alias("wanted"))
-    shared = spark.sparkContext.broadcast(filter_of(sampled.select("a").distinct(), "a"))
-    found = texts.select("text").mapInArrow(_keyed(shared), "a long, b long, text string").groupBy("a", "b").agg(F.first("text").alias("text"))
-    sides = written(
-        found.join(wanted, ["a", "b"])
-        .select("wanted", "text")
-        .mapInArrow(_sides(length, gram), "id long, gram long, left binary, right binary, anchor int, low int, high int, single boolean")
+    sampled = written(contexts.join(several, "gram").select(F.col("context").alias("id"), (F.col("n") == 1).alias("single"), "at.*"))
+    picks = written(sampled.select("id", "a").mapInArrow(_picks, "pick long"))
+    shared = spark.sparkContext.broadcast(filter_of(picks, "pick"))
+    sides = written(texts.mapInArrow(_sides(length, gram, shared), "id long, gram long, left binary, right binary"))
+    to_left = longest_common(sides, "left", F.col("right")).select("id", "gram", F.col("reach").alias("to_left"), F.col("beside").alias("sure"))
+    to_right = longest_common(sides, "right", F.lit(b"")).select("id", F.col("reach").alias("to_right"))
+    bounds = written(to_left.join(to_right, "id").where(F.col("to_left") + F.col("to_right") >= length))
+    owners = sampled.where("single").select("id", "a", "b", "anchor")
+    anchor = F.col("anchor")
+    certain = bounds.where(F.col("to_left") + F.col("sure") >= length).join(owners, "id")
+    certain = certain.select("a", "b", (anchor - F.col("to_left")).alias("start"), (anchor + F.col("sure")).alias("stop"))
+
+    # Starts that may repeat but not with that neighbour. All contexts of the gram bring theirs.
+    low, high = F.lit(length) - F.col("to_right"), F.least("to_left", F.lit(length) - 1 - F.col("sure"))
+    unsure = bounds.select("gram", low.alias("low"), high.alias("high")).where("low <= high")
+    unsure = written(unsure.groupBy("gram").agg(F.min("low").alias("gram_low"), F.max("high").alias("gram_high")))
+    shared = spark.sparkContext.broadcast(filter_of(unsure, "gram"))
+    some = sides.mapInArrow(_of_known_grams(shared), "id long, gram long, left binary, right binary").dropDuplicates(["id"])
+    limits = bounds.join(unsure, "gram").select(
+        "id", F.greatest("gram_low", F.lit(length) - F.col("to_right"), F.lit(0)).alias("low"), F.least("gram_high", "to_left").alias("high")
     )
-    to_left = longest_common(sides, "left").select("id", F.col("reach").alias("to_left"))
-    to_right = longest_common(sides, "right").select("id", F.col("reach").alias("to_right"))
-    bounds = to_left.join(to_right, "id").where(F.col("to_left") + F.col("to_right") >= length)
-    bounded = sides.join(bounds, "id").drop("gram")
-    starts = written(bounded.mapInArrow(_starts(length), "id long, start int, sa long, sb long"))
-    starts = starts.select("id", "start", F.struct("sa", "sb").alias("string"))
+    asked = some.join(limits.where("low <= high"), "id").select("id", "left", "right", "low", "high")
+    starts = written(asked.mapInArrow(_starts(length), "id long, back int, sa long, sb long"))
+    starts = starts.select("id", "back", F.struct("sa", "sb").alias("string"))
     twice = starts.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    hits = salted_join(starts, twice, "string", "id").select("id", "start")
-    owners = sampled.where("single").select("id", "a", "b")
-    edges = hits.join(owners, "id").select("a", "b", "start", (F.col("start") + length).alias("stop"))
-    return spans.unionByName(edges)
+    hits = salted_join(starts, twice, "string", "id").join(owners, "id")
+    edges = hits.select("a", "b", (anchor - F.col("back")).alias("start"), (anchor - F.col("back") + length).alias("stop"))
+    return spans.unionByName(certain).unionByName(edges)
 
 
 def _merged(spans) -> tuple[np.ndarray, np.ndarray]:
