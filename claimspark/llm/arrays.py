@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD1342543DE82EF95 | 1
@@ -171,7 +171,8 @@ def shingles(hashes: np.ndarray, found: Words, size: int) -> tuple[np.ndarray, n
 
 def replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with columns added; those of the same name go."""
-    kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in columns}
+    gone = {n.lower() for n in columns}
+    kept = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n.lower() not in gone}
     return pa.RecordBatch.from_arrays([*kept.values(), *columns.values()], names=[*kept, *columns])
 
 

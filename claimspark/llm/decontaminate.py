@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..session import written
 from . import arrays
-from .tables import schema_with
+from .tables import plain, schema_with
 
 WINDOW = 13
 SHINGLE = 3
@@ -229,6 +229,7 @@ def decontaminate(
     for itself. Columns of ``docs`` stay, but those named like a new one are replaced. No items:
     every document has empty lists.
     """
+    docs = plain(docs, "n_words", "hit_spans", "items")
     found = written(windows(items, item_id, item_text, window))
     total = found.count()
     blocks = max(1, -(-total // block_windows))

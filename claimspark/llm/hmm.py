@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import arrays
-from .tables import ROW
+from .tables import ROW, plain
 
 STATES = 4
 CLASSES = 512
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     but those named like a new one are replaced.
     """
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    keep = [c for c in docs.columns if c != text and c not in new and c != ROW]
+    keep = [c for c in plain(docs, *new, ROW).columns if c != text]
     slim = docs.select(*keep, F.monotonically_increasing_id().alias(ROW), F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("_text").schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model._replace(table=None))

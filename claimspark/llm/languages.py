@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
-from .tables import schema_with
+from .tables import plain, schema_with
 
 GRAM = 4  # bytes
 SAMPLE_DOCS = 4_000  # of a language, about: the bound of the training sample
@@ -149,6 +149,6 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
     those named like a new one are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 4 MB for each 64 languages
-    rows = docs.withColumns({"_text": F.col(text), "_letters": F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))})
+    rows = plain(docs, "lang_pred", "score").withColumns({"_text": F.col(text), "_letters": F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))})
     out = rows.mapInArrow(_predict(shared), schema_with(rows, lang_pred=T.StringType(), score=T.DoubleType()))
     return out.drop("_text", "_letters")

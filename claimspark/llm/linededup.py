@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import salted_join
 from ..session import written
 from .lines import line_key, normal, split_lines
-from .tables import ROW, numbered
+from .tables import ROW, numbered, plain
 
 MIN_SITES = 8
 LOG_K = 10  # the sketch's standard error is 1.04 / sqrt(2**LOG_K), here 3.3 %
@@ -67,7 +67,7 @@ def dedup_lines(
     ''; a null text stays null with no lines, an empty one has one line. Repeated rows each count,
     yet as one site. Columns of ``docs`` stay, but those named like a new one are replaced.
     """
-    rows = numbered(docs)
+    rows = numbered(plain(docs, "n_lines", "n_removed_lines"))
     lines = written(line_table(rows, text, site))
     removed = written(boilerplate(lines, min_sites, log_k))
     hits = salted_join(lines.select(ROW, "pos", "line"), removed, "line", ROW)

@@ -26,7 +26,7 @@ from ..operators.joins import salted_join
 from ..session import written
 from . import arrays
 from .components import components
-from .tables import ROW
+from .tables import ROW, plain
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -135,7 +135,7 @@ def _signed(size: int, bands: int, rows: int):
             slim = batch.drop_columns(["_text"])
             null = batch.column(batch.schema.get_field_index("_text")).is_null()
             yield arrays.replaced(
-                slim, {"a": pa.array(a), "b": pa.array(b), "null": null, "bands": arrays.lists(counts, pa.array(kept))}
+                slim, {"_a": pa.array(a), "_b": pa.array(b), "_null": null, "_bands": arrays.lists(counts, pa.array(kept))}
             )
 
     return run
@@ -251,15 +251,15 @@ def near_duplicates(
     ``class_row`` is the least row of the class. Texts without words are equal to each other; each
     null text is a class of its own. Repeated rows are copies. Other columns stay.
     """
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in plain(docs, "class_row", "in_class").columns if c != text]
     slim = docs.select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    signed = written(slim.mapInArrow(_signed(shingle, bands, rows), f"{fields}, a long, b long, null boolean, bands array<long>"))
-    digest = F.struct("a", "b", F.when(F.col("null"), F.col(ROW)).alias("own")).alias("digest")
+    signed = written(slim.mapInArrow(_signed(shingle, bands, rows), f"{fields}, _a long, _b long, _null boolean, _bands array<long>"))
+    digest = F.struct("_a", "_b", F.when(F.col("_null"), F.col(ROW)).alias("own")).alias("_digest")
     nodes = written(signed.groupBy(digest).agg(F.min(ROW).alias("node")))
 
     # Bands of one row of each node; only those that several nodes share.
-    bands_of = signed.select(F.col(ROW).alias("node"), "a", "b", "bands").join(nodes.select("node"), "node")
+    bands_of = signed.select(F.col(ROW).alias("node"), F.col("_bands").alias("bands")).join(nodes.select("node"), "node")
     keys = written(bands_of.select("node", F.explode("bands").alias("band")))
     shared = keys.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     members = written(salted_join(keys, shared, "band", "node"))
@@ -270,10 +270,10 @@ def near_duplicates(
     pairs = salted_join(weighted, pivots, "band", "node").where("node != v").select(F.col("node").alias("u"), "v").distinct()
 
     # One text of each node that shares a band.
-    involved = signed.select(F.col(ROW).alias("node"), "a", "b").join(weight.select("node"), "node")
-    plain = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).mapInArrow(_keyed_texts, "a long, b long, text string")
-    plain = plain.groupBy("a", "b").agg(F.first("text").alias("text"))
-    texts = written(plain.join(involved, ["a", "b"]).select("node", "text"))
+    involved = signed.select(F.col(ROW).alias("node"), F.col("_a").alias("a"), F.col("_b").alias("b")).join(weight.select("node"), "node")
+    keyed = docs.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).mapInArrow(_keyed_texts, "a long, b long, text string")
+    keyed = keyed.groupBy("a", "b").agg(F.first("text").alias("text"))
+    texts = written(keyed.join(involved, ["a", "b"]).select("node", "text"))
 
     links = written(verified(pairs, texts, shingle, similarity))
     comp = components(links)
@@ -287,9 +287,9 @@ def near_duplicates(
         if not more.isEmpty():
             comp = components(links.unionByName(more))
 
-    named = nodes.join(comp, "node", "left").select("digest", label)
+    named = nodes.join(comp, "node", "left").select("_digest", F.coalesce("label", "node").alias("_label"))
     # A digest of many rows is spread by the row.
-    out = salted_join(signed.select(*keep, digest), named, "digest", ROW)
-    sizes = out.groupBy("label").agg(F.count("*").alias("in_class")).where("in_class > 1")
-    out = salted_join(out, sizes, "label", ROW, "left")
-    return out.select(*keep, F.col("label").alias("class_row"), F.coalesce("in_class", F.lit(1)).cast("long").alias("in_class"))
+    out = salted_join(signed.select(*keep, digest), named, "_digest", ROW)
+    sizes = out.groupBy("_label").agg(F.count("*").alias("in_class")).where("in_class > 1")
+    out = salted_join(out, sizes, "_label", ROW, "left")
+    return out.select(*keep, F.col("_label").alias("class_row"), F.coalesce("in_class", F.lit(1)).cast("long").alias("in_class"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
-from .tables import schema_with
+from .tables import plain, schema_with
 
 SPACE = "▁"
 LONG = 48  # symbols of a chunk from which it gets a heap of its own
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # of the vocabulary's size
     new = {"ids": T.BinaryType(), "decoded": T.StringType(), "library_agrees": T.BooleanType()}
-    rows = docs.withColumn("_text", F.col(text))
+    rows = plain(docs, *new).withColumn("_text", F.col(text))
     return rows.mapInArrow(_run(shared), schema_with(rows, **new)).drop("_text")
 
 

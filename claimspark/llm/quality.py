@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from ..operators.joins import salted_join
 from ..session import written
 from .lines import SPACE_RUN, SPACES, line_key, normal, split_lines, trimmed
-from .tables import ROW
+from .tables import ROW, plain
 
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "depleted", "kept",
+)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
@@ -80,6 +83,7 @@ def judge(
     a document repeats counts once for it, and is taken away wholly. Repeated rows are documents of
     their own. Columns of ``docs`` stay, but those named like a new one are replaced.
     """
+    docs = plain(docs, *MEASURES, ROW)
     site = F.coalesce(F.col(host).cast("string"), F.lit("\x00null"))
     rows = base_measures(docs.withColumns({ROW: F.monotonically_increasing_id(), "_host": site}), text)
     lines = F.transform(

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
 from . import decontaminate as decontamination
 from . import hmm, languages, linededup, minhash, pieces, quality, repeats, toxicity
 from . import shard as sharding
-from .tables import ROW, benchmark, documents, labels
+from .tables import ROW, benchmark, documents, labels, prepared
 
 PIECES_MODEL = "piece_bpe_32k.model"
 
@@ -21,7 +20,7 @@ REGISTRY: dict[str, Query] = {}
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return fn(configure(spark), folder)
+        return fn(prepared(spark), folder)
 
     REGISTRY[fn.__name__] = run
     return fn

@@ -30,6 +30,7 @@ from ..operators.joins import salted_join
 from ..session import written
 from . import arrays
 from .bloom import Filter, filter_of
+from .tables import ROW, plain
 
 LENGTH = 200
 GRAM = 32
@@ -369,7 +370,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     shorter than ``length`` stay whole. Copies lose all bytes, each of them. Repeated rows are copies. Other columns
     stay, but those named like a new one are replaced.
     """
-    keep = [c for c in docs.columns if c not in (text, "n_bytes", "spans", "kept")]
+    keep = [c for c in plain(docs, "n_bytes", "spans", "kept", ROW).columns if c != text]
     found = repeated_spans(docs.select(F.col(text).alias("text")), length, gram)
     listed = found.groupBy("a", "b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = "array<struct<start:int,stop:int>>"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .tables import ROW, numbered
+from .tables import ROW, numbered, plain
 
 SHARDS = 40
 CARTONS = 64  # of a shard
@@ -98,6 +98,7 @@ def shard(
     read once and does not move. Other columns stay, but those named like a new one are replaced.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
+    docs = plain(docs, "size", "text_crc32", "shard", "slot")
     rows = numbered(docs.withColumns({"size": size, "text_crc32": F.crc32(F.coalesce(text, F.lit(""))), "_key": F.coalesce(F.sha2(text, 256), F.lit("null"))}).drop(text))
     groups = written(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     total, n = groups.agg(F.sum("bytes"), F.sum("rows")).first()
@@ -114,14 +115,14 @@ def shard(
     )
     # A partition may get several parts or none: its bins are named by the partition's own parts.
     packed = written(small.mapInArrow(_cartons(carton), "part int, key string, bytes long, bin int").withColumn("task", F.spark_partition_id()))
-    packed = packed.withColumn("unit", F.concat_ws("/", F.lit("c"), "task", "bin"))
+    packed = packed.withColumn("_unit", F.concat_ws("/", F.lit("c"), "task", "bin"))
 
     # Second level: cartons, large groups, and pieces of groups above a fair share. Their number
     # is at most about 2 * shards * cartons + parts.
     large = groups.where(F.col("bytes") > carton)
     pieces = F.when(F.col("bytes") > share, F.ceil(F.col("bytes") / carton)).otherwise(F.lit(1)).cast("int")
     large = large.select("key", "bytes", "rows", pieces.alias("pieces"))
-    units = [(r["unit"], r["bytes"]) for r in packed.groupBy("unit").agg(F.sum("bytes").alias("bytes")).collect()]
+    units = [(r["_unit"], r["bytes"]) for r in packed.groupBy("_unit").agg(F.sum("bytes").alias("bytes")).collect()]
     big = large.collect()
     for r in big:
         each = r["bytes"] // r["rows"]
@@ -131,17 +132,17 @@ def shard(
     units.sort(key=lambda u: (-u[1], u[0]))
     placed = list(zip((u for u, _ in units), best_fit([s for _, s in units], shards), strict=True))
     spark = docs.sparkSession
-    place = spark.createDataFrame(placed or [("", 0)], "unit string, shard int")
+    place = spark.createDataFrame(placed or [("", 0)], "_unit string, shard int")
 
     # Rows of large groups: few keys, so they are broadcast; the others have few rows each.
-    whole = spark.createDataFrame([(r["key"], r["pieces"]) for r in big], "_key string, pieces int")
+    whole = spark.createDataFrame([(r["key"], r["pieces"]) for r in big], "_key string, _pieces int")
     keyed = rows.join(F.broadcast(whole), "_key", "left")
-    of_large = _dealt(keyed.where("pieces > 1"), slot_rows).select(
-        *rows.columns, F.concat_ws("/", F.lit("g"), "_key", F.pmod("_nth", F.col("pieces")).cast("string")).alias("unit")
+    of_large = _dealt(keyed.where("_pieces > 1"), slot_rows).select(
+        *rows.columns, F.concat_ws("/", F.lit("g"), "_key", F.pmod("_nth", F.col("_pieces")).cast("string")).alias("_unit")
     )
-    of_whole = keyed.where("pieces = 1").select(*rows.columns, F.concat_ws("/", F.lit("g"), "_key", F.lit("0")).alias("unit"))
-    of_small = keyed.where("pieces is null").select(*rows.columns).join(packed.select(F.col("key").alias("_key"), "unit"), "_key").select(*rows.columns, "unit")
-    out = written(of_large.unionByName(of_whole).unionByName(of_small).join(F.broadcast(place), "unit").drop("unit", "_key"))
+    of_whole = keyed.where("_pieces = 1").select(*rows.columns, F.concat_ws("/", F.lit("g"), "_key", F.lit("0")).alias("_unit"))
+    of_small = keyed.where("_pieces is null").select(*rows.columns).join(packed.select(F.col("key").alias("_key"), "_unit"), "_key").select(*rows.columns, "_unit")
+    out = written(of_large.unionByName(of_whole).unionByName(of_small).join(F.broadcast(place), "_unit").drop("_unit", "_key"))
     return _nth(out, ["shard"], "slot", slot_rows).drop(ROW)
 
 

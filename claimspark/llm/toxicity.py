@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..session import written
 from . import arrays
-from .tables import schema_with
+from .tables import plain, schema_with
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 8_000, 12_000  # rows, about: the bound of the training sample
 LEXICON = 400
@@ -227,19 +227,19 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     sample = written(sample.withColumn("_n", first).where("_n = 1").select("_key", "text", "label"))
     lexicon = learn_lexicon(sample)
     rows = featured(sample, lexicon)
-    assembled = written(VectorAssembler(inputCols=_columns(), outputCol="features").transform(rows).select("_key", "label", "features"))
+    assembled = written(VectorAssembler(inputCols=_columns(), outputCol="_features").transform(rows).select("_key", "label", "_features"))
     part = F.pmod(F.xxhash64("_key", F.lit(5)), F.lit(5))
     fitting, rest = assembled.where(part != 0), assembled.where(part == 0)
     if fitting.select("label").distinct().count() < 2 or rest.select("label").distinct().count() < 2:
         fitting = rest = assembled
     if fitting.select("label").distinct().count() < 2:
         return empty._replace(lexicon=lexicon)
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=3, maxIter=15, stepSize=0.3, seed=7).fit(fitting)
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxDepth=3, maxIter=15, stepSize=0.3, seed=7).fit(fitting)
     # The sample's classes are weighed back to their shares among the labels.
     scale = {k: sizes[k] / max(1, n) for k, n in ((r["label"], r["count"]) for r in rest.groupBy("label").count().collect())}
     weight = F.when(F.col("label") == 1, scale.get(1, 1.0)).otherwise(scale.get(0, 1.0))
     margins = _margins(trees, rest).select("_margin", F.col("label").cast("double").alias("label"), weight.alias("weight"))
-    calibration = IsotonicRegression(featuresCol="_margin", labelCol="label", weightCol="weight", predictionCol="score").fit(margins)
+    calibration = IsotonicRegression(featuresCol="_margin", labelCol="label", weightCol="weight", predictionCol="_score").fit(margins)
     return Model(lexicon, trees, calibration, float(base))
 
 
@@ -259,9 +259,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts are scored as texts without words. Without labels of both kinds, every score
     is the share of toxic labels. Repeated rows have equal scores.
     """
+    docs = plain(docs, "score")
     if model.trees is None:
-        return docs.drop(text, "score").withColumn("score", F.lit(model.base))
-    rows = VectorAssembler(inputCols=_columns(), outputCol="features").transform(featured(docs.drop("score"), model.lexicon, text))
-    keep = [c for c in docs.columns if c not in (text, "score")]
-    scored = model.calibration.transform(_margins(model.trees, rows).select(*keep, "_margin"))
-    return scored.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).drop("_margin")
+        return docs.drop(text).withColumn("score", F.lit(model.base))
+    rows = VectorAssembler(inputCols=_columns(), outputCol="_features").transform(featured(docs, model.lexicon, text))
+    keep = [c for c in docs.columns if c != text]
+    # Other columns travel as one, as the names of those that the models add are fixed.
+    rows = rows.select(F.struct(*keep, F.lit(0).alias("_")).alias("_rest"), "_features")
+    scored = model.calibration.transform(_margins(model.trees, rows).select("_rest", "_margin"))
+    return scored.select(*(F.col("_rest")[c].alias(c) for c in keep), F.least(F.greatest("_score", F.lit(0.0)), F.lit(1.0)).alias("score"))

@@ -12,8 +12,8 @@ from claimspark.llm import decontaminate as decontamination
 from claimspark.llm import linededup, minhash, pieces
 from claimspark.llm import toxicity as toxic
 from claimspark.llm.queries import held_out, pieces_model
-from claimspark.llm.tables import ROW, benchmark, documents, labels, numbered
-from claimspark.session import configure, written
+from claimspark.llm.tables import ROW, benchmark, documents, labels, numbered, prepared
+from claimspark.session import written
 
 #: SQL cannot train trees, so there is no SQL of the rows; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -21,9 +21,10 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold. Null texts are scored as empty ones."""
+    prepared(spark)
     model = toxic.learn(docs, labels(spark, sf_dir).where(~held_out(4, 2)))
-    scored = toxic.score(docs.withColumn("_kept", F.col("text")), model)
-    return scored.where(F.col("score") < toxic.THRESHOLD).withColumn("text", F.col("_kept")).select(docs.columns)
+    scored = toxic.score(docs.withColumn("whole_text", F.col("text")), model)
+    return scored.where(F.col("score") < toxic.THRESHOLD).withColumn("text", F.col("whole_text")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +68,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written before the next one reads it."""
-    configure(spark)
-    docs = documents(spark, sf_dir)
+    docs = documents(prepared(spark), sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
