@@ -293,3 +293,12 @@ def near_duplicates(
     sizes = out.groupBy("_label").agg(F.count("*").alias("in_class")).where("in_class > 1")
     out = salted_join(out, sizes, "_label", ROW, "left")
     return out.select(*keep, F.col("_label").alias("class_row"), F.coalesce("in_class", F.lit(1)).cast("long").alias("in_class"))
+
+
+def with_first(classes: DataFrame, *order: str) -> DataFrame:
+    """Rows of ``near_duplicates`` with ``first``: the least ``order`` columns and ``_row`` of the class.
+
+    Classes of any size: their rows are aggregated where they are and spread for the join.
+    """
+    least = classes.groupBy("class_row").agg(F.min(F.struct(*order, ROW)).alias("first"))
+    return salted_join(classes, least, "class_row", ROW)

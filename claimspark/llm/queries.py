@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import decontaminate as decontamination
 from . import hmm, languages, linededup, minhash, pieces, quality, repeats, toxicity
 from . import shard as sharding
@@ -63,8 +64,8 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
-    out = minhash.near_duplicates(docs)
-    return out.select("doc_id", F.col("class_row").alias("class_id"), "in_class", (F.col(ROW) == F.col("class_row")).alias("kept"))
+    out = minhash.with_first(written(minhash.near_duplicates(docs)), "doc_id")
+    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "in_class", (F.col("first")[ROW] == F.col(ROW)).alias("kept"))
 
 
 def pieces_model() -> str:

@@ -13,6 +13,53 @@ def _normal(c: str) -> str:
     return f"regexp_replace(trim({c}, {_BLANKS}), {_RUN}, ' ', 'g')"
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op1_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g
+        FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+own AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hits AS (SELECT r, own.n, k, item FROM own JOIN win ON own.n = win.n AND own.g = win.g),
+cov AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(names, '')) AS items_sha256 FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r))
+SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM m
+"""
+
+ORACLES["op10_repeats"] = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS g FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d)),
+hit AS (SELECT r, p FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+run AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k
+        FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM hit)),
+span AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM run GROUP BY r, k),
+gap AS (SELECT r, a AS till, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM span
+        UNION ALL SELECT d.r, length(h) // 2, coalesce(max(b), 0) FROM d LEFT JOIN span ON d.r = span.r GROUP BY d.r, h),
+kept AS (SELECT gap.r, string_agg(substr(h, 2 * since + 1, 2 * (till - since)), '' ORDER BY since) AS k FROM gap JOIN d ON gap.r = d.r GROUP BY gap.r),
+n AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
+ORACLES["op4_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text IS NULL AS none, {_WORDS} AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[k:k + 4], ' ') AS s
+       FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE NOT none)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+both_in AS (SELECT x.r AS u, y.r AS v, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.r <> y.r GROUP BY x.r, y.r),
+link AS (SELECT u, v FROM both_in JOIN n a ON u = a.r JOIN n b ON v = b.r WHERE c >= 0.8 * (a.n + b.n - c)),
+reach AS (SELECT r AS u, r AS v FROM d UNION SELECT reach.u, link.v FROM reach JOIN link ON reach.v = link.u),
+class AS (SELECT u AS r, min(v) AS c FROM reach GROUP BY u),
+size AS (SELECT c, count(*) AS in_class FROM class GROUP BY c)
+SELECT d.doc_id, e.doc_id AS class_id, in_class, d.r = e.r AS kept
+FROM d JOIN class ON d.r = class.r JOIN size ON class.c = size.c JOIN d e ON class.c = e.r
+"""
+
 ORACLES["op3_line_dedup"] = f"""
 WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, * FROM documents),
 split AS (SELECT r, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM docs),

@@ -35,10 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near duplicates."""
+    """The document of least id of each class of near duplicates."""
     rows = numbered(docs)
-    classes = minhash.near_duplicates(rows.select(ROW, "text"))
-    first = classes.where(F.col(ROW) == F.col("class_row")).select(ROW)
+    classes = written(minhash.near_duplicates(rows.select(ROW, "doc_id", "text")))
+    first = minhash.with_first(classes, "doc_id").where(F.col("first")[ROW] == F.col(ROW)).select(ROW)
     return rows.join(first, ROW, "left_semi").select(docs.columns)
 
 
