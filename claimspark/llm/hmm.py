@@ -66,51 +66,61 @@ def tokens(texts: arrays.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Blocks(NamedTuple):
-    classes: np.ndarray  # (blocks, BLOCK); CLASSES where there is no token
+    """Blocks of at most BLOCK tokens. Their rows are in order of length, so that live ones come first."""
+
+    classes: np.ndarray  # (BLOCK, rows)
+    live: np.ndarray  # rows that have a token at each place
     first: np.ndarray  # first block of each text, n + 1
+    row: np.ndarray  # of each block
 
 
 def blocks_of(kinds: np.ndarray, first: np.ndarray) -> Blocks:
-    count = -(-np.diff(first) // BLOCK)
+    lengths = np.diff(first)
+    count = -(-lengths // BLOCK)
     begin = np.concatenate([[0], np.cumsum(count)])
-    out = np.full((int(begin[-1]), BLOCK), CLASSES, np.int64)
-    owner = np.repeat(np.arange(len(count)), np.diff(first))
+    size = np.full(int(begin[-1]), BLOCK)
+    full = count > 0
+    size[begin[1:][full] - 1] = (lengths - (count - 1) * BLOCK)[full]
+    order = np.argsort(-size, kind="stable")
+    row = np.empty(len(order), np.int64)
+    row[order] = np.arange(len(order))
+    out = np.zeros((BLOCK, len(order)), np.int64)
+    owner = np.repeat(np.arange(len(count)), lengths)
     at = np.arange(len(kinds)) - first[owner]
-    out[begin[owner] + at // BLOCK, at % BLOCK] = kinds
-    return Blocks(out, begin)
+    out[at % BLOCK, row[begin[owner] + at // BLOCK]] = kinds
+    return Blocks(out, np.bincount(size, minlength=BLOCK + 1)[::-1].cumsum()[::-1][1:], begin, row)
 
 
 def _products(chain: Chain, blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
-    """The product of each block's matrices, scaled, and the logarithm of the scale."""
-    n, states = len(blocks.classes), len(chain.start)
-    emit = np.vstack([chain.emit.T, np.ones(states)])
+    """The product of each row's matrices, scaled, and the logarithm of the scale."""
+    n, states = len(blocks.row), len(chain.start)
+    emit = np.ascontiguousarray(chain.emit.T)
     out, log = np.broadcast_to(np.eye(states), (n, states, states)).copy(), np.zeros(n)
-    for t in range(BLOCK):
-        kind = blocks.classes[:, t]
-        live = kind < CLASSES
-        if not live.any():
+    for t, m in enumerate(blocks.live.tolist()):
+        if not m:
             break
-        step = (out.reshape(-1, states) @ chain.move).reshape(n, states, states) * emit[kind][:, None, :]
-        out = step if live.all() else np.where(live[:, None, None], step, out)
-        if t % 8 == 7 or t == BLOCK - 1:
-            scale = out.sum(axis=(1, 2))
-            out /= scale[:, None, None]
-            log += np.log(scale)
+        step = (out[:m].reshape(-1, states) @ chain.move).reshape(m, states, states)
+        step *= emit[blocks.classes[t, :m]][:, None, :]
+        out[:m] = step
+        if t % 8 == 7:
+            scale = step.sum(axis=(1, 2))
+            out[:m] /= scale[:, None, None]
+            log[:m] += np.log(scale)
     scale = out.sum(axis=(1, 2))
     return out / scale[:, None, None], log + np.log(scale)
 
 
 def _chained(chain: Chain, blocks: Blocks, product: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """States before each block, and the log likelihood of each text."""
+    """States before each row, and the log likelihood of each text."""
     first, count = blocks.first[:-1], np.diff(blocks.first)
     before = np.zeros((len(product), len(chain.start)))
     now = np.tile(chain.start, (len(count), 1))
     total = np.zeros(len(count))
     for k in range(int(count.max(initial=0))):
         live = np.flatnonzero(count > k)
-        b = first[live] + k
+        b = blocks.row[first[live] + k]
         before[b] = now[live]
-        after = np.einsum("bi,bij->bj", now[live], product[b])
+        after = (now[live][:, None, :] @ product[b])[:, 0, :]
         scale = after.sum(axis=1)
         now[live] = after / scale[:, None]
         total[live] += np.log(scale) + log[b]
@@ -133,32 +143,37 @@ def expected(chain: Chain, kinds: np.ndarray, first: np.ndarray) -> tuple[np.nda
     after = np.ones((n, states))  # chance of what follows a block, up to scale
     for k in range(int(count.max(initial=0)) - 1, 0, -1):
         b = begin[count > k] + k
-        back = np.einsum("bij,bj->bi", product[b], after[b])
-        after[b - 1] = back / back.sum(axis=1, keepdims=True)
-    emit = np.vstack([chain.emit.T, np.ones(states)])
+        here, ahead_of = blocks.row[b], blocks.row[b - 1]
+        back = (product[here] @ after[here][:, :, None])[:, :, 0]
+        after[ahead_of] = back / back.sum(axis=1, keepdims=True)
+    emit = np.ascontiguousarray(chain.emit.T)
+    moved = np.empty((BLOCK, n, states))  # states after each transition, before its token
     ahead = np.empty((BLOCK, n, states))
-    now = before
-    for t in range(BLOCK):
-        ahead[t] = now
-        kind = blocks.classes[:, t]
-        step = (now @ chain.move) * emit[kind]
-        now = np.where((kind < CLASSES)[:, None], step / step.sum(axis=1, keepdims=True), now)
-    move, occupied = np.zeros((states, states)), np.zeros((BLOCK, n, states))
+    now = before.copy()
+    for t, m in enumerate(blocks.live.tolist()):
+        ahead[t, :m] = now[:m]
+        np.matmul(now[:m], chain.move, out=moved[t, :m])
+        step = moved[t, :m] * emit[blocks.classes[t, :m]]
+        now[:m] = step / step.sum(axis=1, keepdims=True)
+    move, seen = np.zeros((states, states)), np.zeros((states, CLASSES))
+    occupied = np.zeros((BLOCK, n, states))
     for t in range(BLOCK - 1, -1, -1):
-        kind = blocks.classes[:, t]
-        live = kind < CLASSES
-        value = emit[kind] * after
-        joint = (ahead[t] @ chain.move) * value
-        scale = joint.sum(axis=1)
-        occupied[t] = np.where(live[:, None], joint / scale[:, None], 0)
-        move += chain.move * ((ahead[t][live] / scale[live, None]).T @ value[live])
+        m = int(blocks.live[t])
+        if not m:
+            continue
+        value = emit[blocks.classes[t, :m]] * after[:m]
+        joint = moved[t, :m] * value
+        scale = joint.sum(axis=1, keepdims=True)
+        occupied[t, :m] = joint / scale
+        move += chain.move * ((ahead[t, :m] / scale).T @ value)
         back = value @ chain.move.T
-        after = np.where(live[:, None], back / back.sum(axis=1, keepdims=True), after)
-    flat = blocks.classes.T.reshape(-1)
-    seen = [np.bincount(flat, weights=occupied[:, :, s].reshape(-1), minlength=CLASSES + 1)[:CLASSES] for s in range(states)]
-    opened = begin[count > 0]
+        after[:m] = back / back.sum(axis=1, keepdims=True)
+    flat = blocks.classes.reshape(-1)
+    for s in range(states):  # places without a token add nothing
+        seen[s] = np.bincount(flat, weights=occupied[:, :, s].reshape(-1), minlength=CLASSES)
+    opened = blocks.row[begin[count > 0]]
     start = before[opened] * after[opened]
-    return (start / start.sum(axis=1, keepdims=True)).sum(axis=0), move, np.array(seen)
+    return (start / start.sum(axis=1, keepdims=True)).sum(axis=0), move, seen
 
 
 def _counted(batches):
