@@ -13,7 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17  # arrays of eight bytes for each byte stay in the cache
+WIDE_BYTES = 1 << 19  # for operators that loop over places of texts
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD1342543DE82EF95 | 1
@@ -133,6 +134,7 @@ def slices(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.
             low, high = whole.offsets[at], whole.offsets[to]
             yield batch.slice(at, to - at), Texts(whole.data[low:high], whole.offsets[at : to + 1] - low)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def words(texts: Texts, table: np.ndarray) -> Words:

@@ -177,14 +177,14 @@ def expected(chain: Chain, kinds: np.ndarray, first: np.ndarray) -> tuple[np.nda
 
 
 def _counted(batches):
-    for _, texts in arrays.slices(batches, "text"):
+    for _, texts in arrays.slices(batches, "text", arrays.WIDE_BYTES):
         hashes, kinds, _ = tokens(texts)
         token, at, n = np.unique(hashes, return_index=True, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(kinds[at], pa.int32()), pa.array(n)], names=["token", "kind", "n"])
 
 
 def _classed(batches):
-    for _, texts in arrays.slices(batches, "text"):
+    for _, texts in arrays.slices(batches, "text", arrays.WIDE_BYTES):
         _, kinds, first = tokens(texts)
         raw = kinds.astype("<u2").tobytes()
         parts = [raw[2 * a : 2 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -194,7 +194,7 @@ def _classed(batches):
 def _expectation(chain: Chain):
     def run(batches):
         sums = None
-        for _, texts in arrays.slices(batches, "kinds"):
+        for _, texts in arrays.slices(batches, "kinds", arrays.WIDE_BYTES):
             kinds = texts.data.view("<u2").astype(np.int64) if len(texts.data) else np.zeros(0, np.int64)
             start, move, seen = expected(chain, kinds, texts.offsets // 2)
             flat = np.concatenate([start, move.ravel(), seen.ravel()])
@@ -264,7 +264,7 @@ def _scored(shared):
         model: Model = shared.value
         # Of one token given its class, without its count.
         share = np.log10(model.of_class + model.kinds_of_class + 1)
-        for batch, texts in arrays.slices(batches, "_text"):
+        for batch, texts in arrays.slices(batches, "_text", arrays.WIDE_BYTES):
             hashes, kinds, first = tokens(texts)
             n_tokens = np.diff(first)
             owner = np.repeat(np.arange(len(n_tokens)), n_tokens)

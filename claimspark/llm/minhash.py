@@ -121,7 +121,7 @@ def _digests(found: arrays.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _signed(size: int, bands: int, rows: int):
     def run(batches):
-        for batch, texts in arrays.slices(batches, "_text"):
+        for batch, texts in arrays.slices(batches, "_text", arrays.WIDE_BYTES):
             element, owner, found, hashes = _elements(texts, size)
             n = batch.num_rows
             a, b = _digests(found, hashes)

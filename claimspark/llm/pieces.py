@@ -213,7 +213,7 @@ def _vocabulary(model: bytes) -> Vocabulary:
 def _run(shared):
     def run(batches):
         vocabulary = _vocabulary(shared.value)
-        for batch, texts in arrays.slices(batches, "_text"):
+        for batch, texts in arrays.slices(batches, "_text", 2 * arrays.WIDE_BYTES):
             plain = [texts.text(i).decode() for i in range(batch.num_rows)]
             ids = vocabulary.encode(plain)
             decoded = [vocabulary.decode(x) for x in ids]
