@@ -47,7 +47,6 @@ class Vocabulary:
         self.byte = {int(names[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         ids = {name: i for i, name in enumerate(names) if not special[i]}
         chars = sorted({c for name in ids for c in name} - set(ids))
-        self.names = [*ids, *chars]
         ids |= {c: n + k for k, c in enumerate(chars)}  # characters that occur only within pieces
         self.stranger = n + len(chars)  # all other characters
         self.char = np.full(0x110000, self.stranger, np.int32)

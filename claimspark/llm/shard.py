@@ -20,7 +20,8 @@ from ..session import written
 from .tables import ROW, numbered, plain
 
 SHARDS = 40
-CARTONS = 64  # of a shard
+CARTONS = 64, 4096  # of a shard, on small and on large inputs
+PART_ROWS = 50_000  # that one task packs, about
 OVERHEAD = 16  # bytes of a row besides its text
 SLOT_ROWS = 20_000  # rows that one task numbers, about
 
@@ -86,7 +87,7 @@ def _cartons(capacity: int):
 
 
 def shard(
-    docs: DataFrame, text: str = "text", shards: int = SHARDS, cartons: int = CARTONS, slot_rows: int = SLOT_ROWS
+    docs: DataFrame, text: str = "text", shards: int = SHARDS, cartons: tuple[int, int] = CARTONS, slot_rows: int = SLOT_ROWS
 ) -> DataFrame:
     """``docs`` less the text, with ``size, text_crc32, shard, slot``: shards of nearly equal bytes.
 
@@ -103,32 +104,33 @@ def shard(
     groups = written(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     total, n = groups.agg(F.sum("bytes"), F.sum("rows")).first()
     share = max(1, math.ceil((total or 0) / shards))
-    carton = max(1, share // cartons)
-
-    # First level. Each part is a task of its own; parts hold many cartons each.
-    parts = max(1, min(shards * cartons // 16, math.ceil((n or 0) / 50_000)))
+    # A part fills some sixteen cartons; more rows make more parts, so more cartons, up to a bound.
+    wanted = math.ceil((n or 0) / PART_ROWS)
+    each = min(max(cartons[0], 16 * wanted // shards), cartons[1])
+    carton = max(1, share // each)
+    parts = max(1, min(shards * each // 16, wanted))
     small = (
         groups.where(F.col("bytes") <= carton)
         .select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "bytes")
         .repartition(parts, "part")
         .sortWithinPartitions("part", F.desc("bytes"), "key")
     )
-    # A partition may get several parts or none: its bins are named by the partition's own parts.
+    # First level. A partition may get several parts or none, so bins are named by the partition.
     packed = written(small.mapInArrow(_cartons(carton), "part int, key string, bytes long, bin int").withColumn("task", F.spark_partition_id()))
     packed = packed.withColumn("_unit", F.concat_ws("/", F.lit("c"), "task", "bin"))
 
     # Second level: cartons, large groups, and pieces of groups above a fair share. Their number
-    # is at most about 2 * shards * cartons + parts.
+    # has a bound: about twice the cartons, and one for each part.
     large = groups.where(F.col("bytes") > carton)
     pieces = F.when(F.col("bytes") > share, F.ceil(F.col("bytes") / carton)).otherwise(F.lit(1)).cast("int")
     large = large.select("key", "bytes", "rows", pieces.alias("pieces"))
     units = [(r["_unit"], r["bytes"]) for r in packed.groupBy("_unit").agg(F.sum("bytes").alias("bytes")).collect()]
     big = large.collect()
     for r in big:
-        each = r["bytes"] // r["rows"]
+        row_bytes = r["bytes"] // r["rows"]
         for k in range(r["pieces"]):
             count = r["rows"] // r["pieces"] + (k < r["rows"] % r["pieces"])
-            units.append((f"g/{r['key']}/{k}", count * each))
+            units.append((f"g/{r['key']}/{k}", count * row_bytes))
     units.sort(key=lambda u: (-u[1], u[0]))
     placed = list(zip((u for u, _ in units), best_fit([s for _, s in units], shards), strict=True))
     spark = docs.sparkSession
