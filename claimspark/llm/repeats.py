@@ -372,7 +372,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     """
     keep = [c for c in plain(docs, "n_bytes", "spans", "kept", ROW).columns if c != text]
     found = repeated_spans(docs.select(F.col(text).alias("text")), length, gram)
-    listed = found.groupBy("a", "b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # A set, so that copies of a text add nothing.
+    listed = found.groupBy("a", "b").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     kind = "array<struct<start:int,stop:int>>"
     spans = written(listed.mapInArrow(_joined_spans, f"a long, b long, spans {kind}"))
     shared = docs.sparkSession.sparkContext.broadcast(filter_of(spans, "a"))
