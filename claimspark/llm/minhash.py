@@ -229,7 +229,9 @@ def _rest(texts: DataFrame, comp: DataFrame, size: int, least: float) -> DataFra
         cells[r["cell"]] = r["n"]
     shared = spark.sparkContext.broadcast(cells)
     tokens = texts.select("node", "text").mapInArrow(_prefixes(size, least, shared), "node long, token long, place int, n int")
-    tokens = written(tokens.join(comp, "node"))
+    tokens = written(tokens)
+    common = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    tokens = written(salted_join(tokens, common, "token", "node").join(comp, "node"))
     sizes = tokens.groupBy("token", "label").agg(F.count("*").alias("m"))
     main = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     open_tokens = written(salted_join(tokens, main.select("token", F.col("top.label").alias("main")), "token", "node"))
