@@ -7,6 +7,8 @@ does not follow the size of a batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -123,6 +125,13 @@ def views(column: pa.Array) -> Texts:
     return Texts(whole[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def hand_back() -> None:
+    """Give freed memory back at the end of a task: workers live on, and several share an executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Record batches cut so that each holds at most ``limit`` bytes of text, or one text."""
     for batch in batches:
@@ -134,7 +143,7 @@ def slices(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.
             low, high = whole.offsets[at], whole.offsets[to]
             yield batch.slice(at, to - at), Texts(whole.data[low:high], whole.offsets[at : to + 1] - low)
             at = to
-    pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 def words(texts: Texts, table: np.ndarray) -> Words:

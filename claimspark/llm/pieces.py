@@ -28,7 +28,7 @@ from .tables import plain, schema_with
 
 SPACE = "▁"
 LONG = 48  # symbols of a chunk from which it gets a heap of its own
-CACHE_CHUNKS = 500_000  # of each of two generations
+CACHE_CHUNKS = 200_000  # of each of two generations
 _NONE = np.int32(2**31 - 1)
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -188,6 +188,9 @@ class Vocabulary:
             del self.cache[c]
         return out
 
+    def forget(self) -> None:
+        self.cache, self.older = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text; bytes that are no UTF-8 become U+FFFD."""
         parts = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -212,6 +215,7 @@ def _vocabulary(model: bytes) -> Vocabulary:
 def _run(shared):
     def run(batches):
         vocabulary = _vocabulary(shared.value)
+        vocabulary.forget()  # what an earlier task left
         for batch, texts in arrays.slices(batches, "_text", 2 * arrays.WIDE_BYTES):
             plain = [texts.text(i).decode() for i in range(batch.num_rows)]
             ids = vocabulary.encode(plain)
@@ -233,6 +237,8 @@ def _run(shared):
                     "library_agrees": pa.array(agrees, pa.bool_()),
                 },
             )
+        vocabulary.forget()
+        arrays.hand_back()
 
     return run
 
