@@ -145,12 +145,20 @@ def test_pieces_equal_the_library(vocabulary, texts):
     letters = list("aab \n\t▁éßñ日😀\x00.,01 ") + ["  ", "   ", "the", "ing", "<s>", "<0x41>"]
     odd = ["".join(rng.choice(letters, size=n)) for n in (0, 1, 2, 3, 10, 60, 400) for _ in range(40)]
     plain = [t or "" for t in TEXTS] + odd + list(texts.values()) + [" " * 3000, "y" * 3000, "▁" * 70]
-    own = vocabulary.encode(plain)
+    own, agrees = vocabulary.encode(plain)
+    assert all(agrees)
     checked = vocabulary.library.encode(plain, add_bos=True, add_eos=True)
     assert [np.frombuffer(x, "<u4").tolist() for x in own] == checked
     assert [vocabulary.decode(x).decode() for x in own] == vocabulary.library.decode(checked)
-    again = vocabulary.encode(plain)  # now from the cache
-    assert again == own
+    assert vocabulary.encode(plain) == (own, agrees)  # now from the cache
+    vocabulary.forget()
+
+
+def test_a_chunk_that_the_library_encodes_otherwise_is_noticed(vocabulary, monkeypatch):
+    vocabulary.forget()
+    monkeypatch.setattr(vocabulary, "merge_many", lambda chunks: [b"\0\0\0\0"] * len(chunks))
+    assert vocabulary.encode(["", "two words"])[1] == [True, False]
+    vocabulary.forget()
 
 
 def test_heap_and_rounds_agree(vocabulary):
