@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import salted_join
 from ..session import written
 
 
 def _stars(both: DataFrame) -> DataFrame:
     """Each neighbour with the least of its node's neighbourhood; ``u, v, least``."""
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
-    return salted_join(both, least, "u", "v")
+    return both.join(least, "u")  # adaptive execution splits nodes of very many neighbours
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for each node of ``edges`` (``u, v``): the least node of its component.
 
     Every round links nodes to the least node of their neighbourhood, first those above them and
-    then themselves, and is written; it ends when a round changes nothing. Nodes with very many
-    neighbours are spread.
+    then themselves, and is written; it ends when a round changes nothing.
     """
     edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
