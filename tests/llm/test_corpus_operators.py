@@ -356,3 +356,9 @@ def test_run_is_registered(spark, small):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_queries_without_sql_are_those_that_sql_cannot_express():
+    without = {"op2_shard", "op5_toxicity", "op6_languages", "op7_pieces", "op8_hmm"}
+    assert set(queries.REGISTRY) - set(sql.ORACLES) == without and set(sql.ORACLES) <= set(queries.REGISTRY)
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.REGISTRY) == list(range(1, 11))
