@@ -25,23 +25,25 @@ LOG_K = 10  # the sketch's standard error is 1.04 / sqrt(2**LOG_K), here 3.3 %
 BAND = 3  # standard errors that count as near
 
 
-def line_table(rows: DataFrame, text: str, site: str) -> DataFrame:
-    """Lines with a word: ``_row, pos, site, line``. A null site is a site of its own."""
-    split = rows.select(ROW, F.coalesce(F.col(site).cast("string"), F.lit("\x00null")).alias("site"), F.posexplode(split_lines(text)).alias("pos", "_line"))
-    return split.withColumn("_line", normal(F.col("_line"))).where("_line != ''").select(ROW, "pos", "site", line_key(F.col("_line")).alias("line"))
+def line_table(rows: DataFrame, text: str, site: str, key: str) -> DataFrame:
+    """Lines with a word: ``at`` (key, row and place), ``site, line``. A null site is a site of its own."""
+    split = rows.select(ROW, F.col(key).alias("_key"), F.coalesce(F.col(site).cast("string"), F.lit("\x00null")).alias("site"), F.posexplode(split_lines(text)).alias("pos", "_line"))
+    return split.withColumn("_line", normal(F.col("_line"))).where("_line != ''").select(
+        F.struct("_key", ROW, "pos").alias("at"), "site", line_key(F.col("_line")).alias("line")
+    )
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_k: int = LOG_K) -> DataFrame:
-    """Lines on at least ``min_sites`` sites: ``line, first`` (the row and place of the first one)."""
+    """Lines on at least ``min_sites`` sites: ``line, first`` (where the first one is)."""
     error = BAND * 1.04 / math.sqrt(2**log_k)
     low, high = math.floor(min_sites * (1 - error)), math.ceil(min_sites * (1 + error))
     spread = lines.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", log_k)).alias("sites"), F.min(F.struct(ROW, "pos")).alias("first")
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", log_k)).alias("sites"), F.min("at").alias("first")
     )
     shared = written(spread.where(F.col("sites") >= low))
     near = shared.where(F.col("sites") <= high).select("line")
     exact = (
-        salted_join(lines.select("line", "site", ROW), near, "line", ROW)
+        salted_join(lines, near, "line", "at")
         .select("line", "site")
         .distinct()
         .groupBy("line")
@@ -58,23 +60,23 @@ def _without(text: str, places: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, log_k: int = LOG_K
+    docs: DataFrame, text: str = "text", site: str = "source", key: str = "doc_id", min_sites: int = MIN_SITES, log_k: int = LOG_K
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines, n_removed_lines``.
 
     Lines are compared without outer white space and with single spaces; lines without a word stay.
-    The first occurrence, by row and line, stays. All documents stay, a text that loses all lines as
+    The first occurrence, by ``key``, row and line, stays. All documents stay, a text that loses all lines as
     ''; a null text stays null with no lines, an empty one has one line. Repeated rows each count,
     yet as one site. Columns of ``docs`` stay, but those named like a new one are replaced.
     """
     rows = numbered(plain(docs, "n_lines", "n_removed_lines"))
-    lines = written(line_table(rows, text, site))
+    lines = written(line_table(rows, text, site, key))
     removed = written(boilerplate(lines, min_sites, log_k))
-    hits = salted_join(lines.select(ROW, "pos", "line"), removed, "line", ROW)
+    hits = salted_join(lines.select("at", "line"), removed, "line", "at")
     places = (
-        hits.where((F.col("first")[ROW] != F.col(ROW)) | (F.col("first")["pos"] != F.col("pos")))
-        .groupBy(ROW)
-        .agg(F.collect_list("pos").alias("_places"))  # of one text
+        hits.where("not (first <=> at)")
+        .groupBy(F.col("at")[ROW].alias(ROW))
+        .agg(F.collect_list("at.pos").alias("_places"))  # of one text
     )
     out = rows.join(places, ROW, "left")
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split_lines(text)))
