@@ -211,7 +211,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """A model from about SAMPLE_TOXIC + SAMPLE_OTHER labelled rows, chosen by a hash of ``key``.
 
     A key with several labels counts by the largest; rows without a label, key or text do not count.
-    Of texts that begin alike one is used, so copies do not weigh. One fifth of the sample calibrates.
+    Of equal texts with the same label one is used, so exact copies do not weigh; texts that differ
+    anywhere all count. One fifth of the sample calibrates.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max((F.col(label) > 0).cast("int")).alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -223,8 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = known.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < share * (1 << 20))
     sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     sample = sample.join(F.broadcast(chosen), "_key")  # the sample's bound in rows
-    first = F.row_number().over(_same_beginning())
-    sample = written(sample.withColumn("_n", first).where("_n = 1").select("_key", "text", "label"))
+    sample = written(_without_copies(sample))
     lexicon = learn_lexicon(sample)
     rows = featured(sample, lexicon)
     assembled = written(VectorAssembler(inputCols=_columns(), outputCol="_features").transform(rows).select("_key", "label", "_features"))
@@ -243,10 +243,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return Model(lexicon, trees, calibration, float(base))
 
 
-def _same_beginning():
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """The row of least ``_key`` for each whole text and label."""
     from pyspark.sql import Window
 
-    return Window.partitionBy(F.substring("text", 1, 64)).orderBy("_key")
+    same = Window.partitionBy(F.sha2("text", 256), "label").orderBy("_key")
+    return sample.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_key", "text", "label")
 
 
 def _margins(trees, rows: DataFrame) -> DataFrame:

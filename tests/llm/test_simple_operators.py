@@ -249,6 +249,24 @@ def test_toxicity_learns_and_scores_every_row(spark, edge, others):
     assert toxicity.score(edge.where("false"), model).count() == 0
 
 
+def test_only_exact_copies_of_labelled_texts_are_dropped(spark):
+    header = "All pages of the site begin with this line of far more than 64 characters. "
+    some = [(3, "a", 0), (1, "a", 0), (2, "a", 1), (4, "b", 0), (5, "b ", 0), (6, "", 1), (7, "", 1)]
+    sample = spark.createDataFrame([(k, header + t, y) for k, t, y in some], "_key long, text string, label int")
+    assert sorted(r["_key"] for r in toxicity._without_copies(sample).collect()) == [1, 2, 4, 5, 6]
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(900):
+        own = list(rng.choice([f"v{k}" for k in range(300)], 40))
+        if i % 3 == 0:
+            own[int(rng.integers(40))] = str(rng.choice(["scum", "clown", "trash"]))
+        rows.append((i, header + " ".join(own), int(i % 3 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table, table.select("doc_id", "toxic").where("doc_id < 600"))
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(table.drop("toxic"), model).collect()}
+    assert np.mean([(scored[i] >= toxicity.THRESHOLD) == bool(t) for i, _, t in rows if i >= 600]) > 0.97
+
+
 def test_held_out_rows_do_not_teach(spark, small):
     rows = queries.REGISTRY["op5_toxicity"](spark, small).collect()
     assert len(rows) == 200
