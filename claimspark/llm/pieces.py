@@ -7,8 +7,8 @@ are in no piece become byte pieces.
 
 No piece crosses from another character to a space, nor holds a line end, so a text falls into
 chunks that merge on their own; equal chunks are encoded once. Chunks that are new are merged side
-by side as arrays, each with its own agenda of ranks; long ones use a heap. The library encodes the
-new chunks of an Arrow batch too, and decodes all ids; where it differs, its result counts.
+by side as arrays, each with its own agenda of ranks; long ones use a heap. The library encodes every
+whole text too, and decodes all ids; where it differs, its result counts.
 """
 
 from __future__ import annotations
@@ -71,14 +71,10 @@ class Vocabulary:
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
         joined = [name for name in ids if len(name) > 1]
         splits = not any(re.search(rf"[^{SPACE}]{SPACE}|\n", name) for name in joined)
-        # Chunks are given to the library after a line end, which keeps it from adding a space.
-        self.lead = "\n" if splits else ""
-        self.lead_ids = len(lib.encode(self.lead))
         self.chunk = re.compile(r" *[^ \n]+|\n| +" if splits else r"(?s).+")
         self.bytes_of = [b"" if lib.is_control(i) else bytes([int(name[3:5], 16)]) if lib.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.wrong: set[str] = set()  # chunks that the library encodes otherwise
 
     def _code(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return left.astype(np.int64) * self.base + right
@@ -168,21 +164,11 @@ class Vocabulary:
             out[k] = np.array(ids, "<u4").tobytes()
         return out
 
-    def _check(self, chunks: list[str], ids: list[bytes]) -> None:
-        """Note the chunks that the library encodes otherwise. It gets all of them as lines of one text first."""
-        if self.lead:
-            lines = [k for k, c in enumerate(chunks) if c != self.lead]
-            line_end = _packed(self.library.encode(self.lead)[-1:])
-            own = b"".join(line_end + ids[k] for k in lines)
-            if own == _packed(self.library.encode(self.lead + self.lead.join(chunks[k] for k in lines))[self.lead_ids - 1 :]):
-                return
-        given = [self.lead + c if self.lead else c[1:] for c in chunks]
-        for c, own, other in zip(chunks, ids, self.library.encode(given, num_threads=1), strict=True):
-            if own != _packed(other[self.lead_ids :]):
-                self.wrong.add(c)
-
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of each text with those of begin and end, four little-endian bytes each; whether the library agrees."""
+        """Ids of each text with those of begin and end, four little-endian bytes each; whether the library agrees.
+
+        The library encodes each whole text, so that the cut into chunks is checked too; its ids count.
+        """
         split = [self.chunk.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache, self.older = {}, self.cache
@@ -196,24 +182,19 @@ class Vocabulary:
                     new.append(c)
         short = [c for c in new if len(c) < LONG]
         if short:
-            ids = self.merge_many([c.replace(" ", SPACE) for c in short])
-            self._check(short, ids)
-            cache.update(zip(short, ids, strict=True))
+            cache.update(zip(short, self.merge_many([c.replace(" ", SPACE) for c in short]), strict=True))
         long = [c for c in new if len(c) >= LONG]
-        if long:
-            ids = [_packed(self.merge_heap(c.replace(" ", SPACE))) for c in long]
-            self._check(long, ids)
-            cache.update(zip(long, ids, strict=True))
+        cache.update((c, _packed(self.merge_heap(c.replace(" ", SPACE)))) for c in long)
         begin, end = _packed([self.begin]), _packed([self.end])
         out = [b"".join([begin, *map(cache.__getitem__, own), end]) for own in split]
-        agrees = [not self.wrong or self.wrong.isdisjoint(own) for own in split]
+        checked = [_packed(x) for x in self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
+        agrees = [own == other for own, other in zip(out, checked, strict=True)]
         for c in long:  # long chunks are rare and seldom come again
             del cache[c]
-        return out, agrees
+        return checked, agrees
 
     def forget(self) -> None:
         self.cache, self.older = {}, {}
-        self.wrong.clear()
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text; bytes that are no UTF-8 become U+FFFD."""
@@ -247,9 +228,6 @@ def _run(shared):
         for batch, texts in arrays.slices(batches, "_text", 2 * arrays.WIDE_BYTES):
             plain = [texts.text(i).decode() for i in range(batch.num_rows)]
             ids, agrees = vocabulary.encode(plain)
-            for k, same in enumerate(agrees):
-                if not same:
-                    ids[k] = _packed(vocabulary.library.encode(plain[k], add_bos=True, add_eos=True))
             back = vocabulary.library.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
             decoded = [vocabulary.decode(x) for x in ids]
             for k, text in enumerate(back):
@@ -273,7 +251,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (little-endian unsigned 32-bit integers), ``decoded`` and ``library_agrees``.
 
     Begin and end ids are included; a null or empty text has only these and decodes to ''. The
-    sentencepiece library encodes each chunk too and decodes each text; where it differs, its result is
+    sentencepiece library encodes and decodes each whole text too; where it differs, its result is
     returned and ``library_agrees`` is false. Whole texts of any length are encoded; repeated rows each on their
     own. Columns of ``docs`` stay, but those named like a new one are replaced.
     """

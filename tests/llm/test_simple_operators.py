@@ -1,6 +1,7 @@
 """Decontamination, sharding, pieces, language and toxicity against plain Python."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -161,6 +162,16 @@ def test_a_chunk_that_the_library_encodes_otherwise_is_noticed(vocabulary, monke
     vocabulary.forget()
 
 
+def test_a_wrong_cut_into_chunks_is_noticed(vocabulary, monkeypatch):
+    vocabulary.forget()
+    monkeypatch.setattr(vocabulary, "chunk", re.compile("(?s)."))  # the library agrees on each chunk
+    plain = ["", "two words"]
+    ids, agrees = vocabulary.encode(plain)
+    assert agrees == [True, False]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == vocabulary.library.encode(plain, add_bos=True, add_eos=True)
+    vocabulary.forget()
+
+
 def test_heap_and_rounds_agree(vocabulary):
     chunks = ["▁international", "aaaaaaaa", "▁▁▁▁▁", "xyzzyzzy", "日本語", "▁t", "q"]
     by_round = vocabulary.merge_many(chunks)
