@@ -15,7 +15,8 @@ from claimspark.llm.queries import held_out, pieces_model
 from claimspark.llm.tables import ROW, benchmark, documents, labels, numbered, prepared
 from claimspark.session import written
 
-#: SQL cannot train trees, so there is no SQL of the rows; tests hold each stage against brute force.
+#: SQL cannot train trees, so there is no SQL of the rows; tests hold the stages against
+#: brute force, encoding against the library, and toxicity against the scores of op5.
 ORACLE_SQL = None
 
 

@@ -343,6 +343,32 @@ def test_pipeline_stages_act_on_what_they_get(spark, small, documents, texts):
     assert {r["doc_id"] for r in docs.collect()} == set(kept["decontaminate"])
 
 
+def test_pipeline_stages_give_the_right_rows(spark, small):
+    import sentencepiece
+
+    docs, given = spark.read.parquet(f"{small}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        given[name] = {r["doc_id"]: r for r in docs.collect()}
+        docs = corpus_pipeline.written(stage(spark, docs, small))
+    scores = {r["doc_id"]: r["score"] for r in queries.REGISTRY["op5_toxicity"](spark, small).collect()}
+    assert given["line_dedup"] == {k: r for k, r in given["toxicity"].items() if scores[k] < 0.3}
+    before = [given["line_dedup"][k] for k in sorted(given["line_dedup"])]
+    want = brute_line_dedup([(r["text"], r["source"]) for r in before], 8)
+    assert any(n for _, n, _ in want)
+    assert {k: r["text"] for k, r in given["near_dedup"].items()} == {r["doc_id"]: t for r, (_, _, t) in zip(before, want, strict=True)}
+    for name, last in (("decontaminate", "near_dedup"), ("encode", "decontaminate")):
+        assert all(r == given[last][k] for k, r in given[name].items())
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.pieces_model())
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    out = {r["doc_id"]: r for r in docs.collect()}
+    assert set(out) == set(given["encode"])
+    for k, r in out.items():
+        ids = library.encode(given["encode"][k]["text"], add_bos=True, add_eos=True)
+        raw = np.array(ids, "<u4").tobytes()
+        assert (r["n_tokens"], bytes(r["ids"]), r["ids_sha256"]) == (len(ids), raw, digest(raw))
+        assert r["decoded_sha256"] == digest(library.decode(ids).encode())
+
+
 def test_pipeline_of_awkward_rows(spark, small, edge):
     docs = edge.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
     for some in (docs, docs.where("false")):
