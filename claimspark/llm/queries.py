@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import decontaminate as decontamination
-from . import hmm, languages, linededup, minhash, pieces, quality, repeats, toxicity
+from . import hmm, languages, linededup, merkle, minhash, pieces, quality, repeats, search, toxicity, urls
 from . import shard as sharding
-from .tables import ROW, benchmark, documents, labels, prepared
+from .tables import ROW, benchmark, documents, labels, pages, prepared
 
 PIECES_MODEL = "piece_bpe_32k.model"
 
@@ -122,3 +122,23 @@ def op8_hmm(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     model = hmm.learn(docs.where(~held_out(7, 2)))
     return hmm.score(docs.withColumn("held_out", held_out(7, 2)), model)
+
+
+@query
+def op11_urls(spark: SparkSession, folder: str) -> DataFrame:
+    model = urls.learn(urls.labelled_urls(spark))
+    return urls.judge(pages(spark, folder).select("page_id", "url"), model).drop("url")
+
+
+@query
+def op12_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(documents(spark, folder).select("doc_id", "text"), benchmark(spark, folder).select("item_id", "text"))
+
+
+@query
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    head = [merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.digest(*head, merkle.field(lower)))
+    return merkle.manifest(docs, merkle.digest(*head, merkle.field(F.col("text"))), tampered)

@@ -97,3 +97,83 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT *, NOT base_failed AND n_words - n_removed_words >= 10
           AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept FROM f
 """
+
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op12_search"] = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {_TERMS} AS w FROM documents),
+own AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nt FROM own),
+tfs AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM own) GROUP BY r, t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2.0 * nd + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM tfs, total GROUP BY t, nd),
+i AS (SELECT row_number() OVER (ORDER BY item_id) AS q, item_id, {_TERMS} AS w FROM benchmark),
+terms AS (SELECT DISTINCT q, item_id, unnest(w) AS t FROM i),
+score AS (SELECT q, item_id, own.r, doc_id,
+          CAST(sum(weight.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nt)))) AS BIGINT) AS score
+          FROM terms JOIN tfs USING (t) JOIN weight USING (t) JOIN own ON own.r = tfs.r, total GROUP BY q, item_id, own.r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """Levels ``name0``... of (g, i, h, n), each with what stands before and after a node in its run."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(levels):
+        low = f"{name}{k}"
+        out.append(
+            f"{low}s AS (SELECT a.g, a.i, a.h, a.n, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, "
+            f"coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after "
+            f"FROM {low} a JOIN {low} b ON a.g = b.g AND a.i // 16 = b.i // 16 GROUP BY a.g, a.i, a.h, a.n)"
+        )
+        out.append(
+            f"{name}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, "
+            f"(n + 15) // 16 AS n FROM {low} GROUP BY g, i // 16, n)"
+        )
+    return ",\n".join(out)
+
+
+def _climb(name: str, start: str, levels: int) -> str:
+    """``name0``... of (r, g, i, fold, proof): from each row up the levels of a tree, one at a time."""
+    tree = name[1:]
+    out = [f"{name}0 AS ({start})"]
+    for k in range(levels):
+        out.append(
+            f"{name}{k + 1} AS (SELECT r, c.g, c.i // 16 AS i, CASE WHEN n = 1 THEN fold ELSE sha256(before || fold || after) END AS fold, "
+            f"proof || before || after AS proof FROM {name}{k} c JOIN {tree}{k}s s ON c.g = s.g AND c.i = s.i)"
+        )
+    return ",\n".join(out)
+
+
+def _manifest(levels: int = 5) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in (*fields, text)) + ")"
+
+    # DuckDB has no crc32; it is eight steps of shift and exclusive or for each digit of the id.
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc = (
+        "crc AS (SELECT CAST(4294967295 AS BIGINT) AS c, 0 AS k, r, CAST(doc_id AS VARCHAR) AS s, 8 AS b FROM d UNION ALL "
+        f"SELECT CASE WHEN b = 8 THEN xor(c, ascii(s[k + 1])) ELSE {step} END, CASE WHEN b = 7 THEN k + 1 ELSE k END, r, s, CASE WHEN b = 8 THEN 0 WHEN b = 7 THEN 8 ELSE b + 1 END "
+        "FROM crc WHERE k < length(s))"
+    )
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, *, {leaf("text")} AS leaf,
+           {leaf(f"translate(text, '{upper}', '{lower}')")} AS other, coalesce('s' || source, '') AS g FROM documents),
+{crc},
+bad AS (SELECT r, xor(c, 4294967295) % 5 = 0 AS bad FROM crc WHERE k = length(s) AND b = 8),
+p AS (SELECT r, g, leaf, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree("t", "SELECT g, i, leaf AS h, n FROM p", levels)},
+top AS (SELECT g, min(h) AS h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM t{levels} GROUP BY g),
+{_tree("u", "SELECT 0 AS g, i, h, n FROM top", levels)},
+{_climb("ct", "SELECT p.r, p.g, i, CASE WHEN bad THEN other ELSE p.leaf END AS fold, '' AS proof FROM p JOIN d ON p.r = d.r LEFT JOIN bad ON bad.r = d.r", levels)},
+{_climb("cu", f"SELECT r, 0 AS g, top.i, fold, proof FROM ct{levels} c JOIN top ON c.g = top.g", levels)}
+SELECT doc_id, leaf, top.h AS subroot, u{levels}.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u{levels}.h AS verified
+FROM d JOIN top ON d.g = top.g JOIN cu{levels} c ON c.r = d.r, u{levels}
+"""
+
+
+ORACLES["op13_merkle"] = _manifest()
