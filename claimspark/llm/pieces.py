@@ -7,8 +7,8 @@ are in no piece become byte pieces.
 
 No piece crosses from another character to a space, nor holds a line end, so a text falls into
 chunks that merge on their own; equal chunks are encoded once. Chunks that are new are merged side
-by side as arrays, each with its own agenda of ranks; long ones use a heap. The library encodes every
-whole text too, and decodes all ids; where it differs, its result counts.
+by side as arrays, each with its own agenda of ranks; long ones use a heap. The library encodes and decodes
+every whole text too, equal texts of a slice once; a row is replaced by its result only where that differs.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from .tables import plain, schema_with
 SPACE = "▁"
 LONG = 48  # symbols of a chunk from which it gets a heap of its own
 CACHE_CHUNKS = 200_000  # of each of two generations
+TABLE_BITS = 20  # of the table of pairs; a vocabulary has some hundred thousand
 _NONE = np.int32(2**31 - 1)
+_TURNS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -66,23 +68,50 @@ class Vocabulary:
                     # Equal scores share a rank, so that the place decides between them.
                     pairs[a * self.base + b] = place[lib.get_score(i)], i
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
+        self.keys = np.array([*pairs, -1], np.int64)  # the last one is no pair
+        self.ranks = np.array([*(p[0] for p in pairs.values()), _NONE], np.int32)
+        self.merged = np.array([*(p[1] for p in pairs.values()), 0], np.int32)
+        self.table = self._table()
         joined = [name for name in ids if len(name) > 1]
         splits = not any(re.search(rf"[^{SPACE}]{SPACE}|\n", name) for name in joined)
         self.chunk = re.compile(r" *[^ \n]+|\n| +" if splits else r"(?s).+")
         self.bytes_of = [b"" if lib.is_control(i) else bytes([int(name[3:5], 16)]) if lib.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
+
+    def _slots(self, code: np.ndarray, turn: int) -> np.ndarray:
+        return (code.astype(np.uint64) * _TURNS[turn]) >> np.uint64(64 - TABLE_BITS)
+
+    def _table(self) -> np.ndarray:
+        """Where a pair is in ``keys``, at one of two slots that its code gives."""
+        none = len(self.keys) - 1
+        table = np.full(1 << TABLE_BITS, none, np.int32)
+        slots = [self._slots(self.keys[:-1], turn).tolist() for turn in (0, 1)]
+        held: dict[int, int] = {}
+        for i in range(none):
+            turn, tries = 0, 0
+            while (slot := slots[turn][i]) in held and tries < 500:
+                i, held[slot] = held[slot], i
+                turn, tries = int(slots[0][i] == slot), tries + 1
+            if slot in held:
+                raise ValueError("the vocabulary has too many pairs for the table")
+            held[slot] = i
+        table[np.fromiter(held.keys(), np.int64, len(held))] = np.fromiter(held.values(), np.int32, len(held))
+        return table
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs in ``keys``; the last place for those that are none."""
+        code = self._code(left, right)
+        at = self.table[self._slots(code, 0)]
+        miss = np.flatnonzero(self.keys[at] != code)
+        second = self.table[self._slots(code[miss], 1)]
+        at[miss] = np.where(self.keys[second] == code[miss], second, len(self.keys) - 1)
+        return at
 
     def _code(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return left.astype(np.int64) * self.base + right
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        code = self._code(left, right)
-        at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-        return np.where(self.keys[at] == code, self.ranks[at], _NONE)
+        return self.ranks[self._find(left, right)]
 
     def _fallback(self, symbols, chars: str) -> list[int]:
         """Ids of final symbols, where ``chars`` has the character of each that is no piece."""
@@ -142,7 +171,7 @@ class Vocabulary:
                     break
             hits = np.flatnonzero(ranks == np.repeat(best, sizes))
             hits = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]
-            symbols[hits] = self.merged[np.searchsorted(self.keys, self._code(symbols[hits], symbols[hits + 1]))]
+            symbols[hits] = self.merged[self._find(symbols[hits], symbols[hits + 1])]
             keep = np.ones(len(symbols), bool)
             keep[hits + 1] = False
             owner, place, symbols, ranks = owner[keep], place[keep], symbols[keep], ranks[keep]
@@ -164,37 +193,68 @@ class Vocabulary:
             out[k] = np.array(ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of each text with those of begin and end, four little-endian bytes each; whether the library agrees.
-
-        The library encodes each whole text, so that the cut into chunks is checked too; its ids count.
-        """
-        split = [self.chunk.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
+    def _learn(self, split: list[list[str]]) -> list[str]:
+        """Encode the chunks that are not in the cache; the long ones among them."""
         if len(self.cache) > CACHE_CHUNKS:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
-        new = []
-        for c in set().union(*split):
-            if c not in cache:
-                if c in older:
-                    cache[c] = older[c]
-                else:
-                    new.append(c)
+        new = set().union(*split).difference(cache)
+        if older:
+            again = [c for c in new if c in older]
+            cache.update((c, older[c]) for c in again)
+            new.difference_update(again)
         short = [c for c in new if len(c) < LONG]
-        if short:
-            cache.update(zip(short, self.merge_many([c.replace(" ", SPACE) for c in short]), strict=True))
         long = [c for c in new if len(c) >= LONG]
-        cache.update((c, _packed(self.merge_heap(c.replace(" ", SPACE)))) for c in long)
-        begin, end = _packed([self.begin]), _packed([self.end])
-        out = [b"".join([begin, *map(cache.__getitem__, own), end]) for own in split]
-        checked = [_packed(x) for x in self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
-        agrees = [own == other for own, other in zip(out, checked, strict=True)]
+        made = list(zip(short, self.merge_many([c.replace(" ", SPACE) for c in short]), strict=True)) if short else []
+        made += [(c, _packed(self.merge_heap(c.replace(" ", SPACE)))) for c in long]
+        cache.update(made)
+        piece = self.bytes_of.__getitem__
+        for c, ids in made:
+            if (back := b"".join(map(piece, _unpacked(ids)))) != c.encode():
+                self.odd[c] = back
+        return long
+
+    def run(self, texts: list[str]) -> tuple[list[bytes], list[str], list[bool]]:
+        """Ids of each text with those of begin and end, four little-endian bytes each; the decoded text; whether the library agrees.
+
+        The ids are the agenda's and the text is that of their chunks. The library encodes and decodes each whole
+        text too, so that the cut into chunks is checked as well; only where it differs its result is taken.
+        """
+        each = list(dict.fromkeys(texts))
+        split = [self.chunk.findall(" " + t.replace(SPACE, " ")) if t else [] for t in each]
+        long = self._learn(split)
+        begin, end, known = _packed([self.begin]), _packed([self.end]), self.cache.__getitem__
+        checked = self.library.encode(each, add_bos=True, add_eos=True, num_threads=1)
+        back = self.library.decode(checked, num_threads=1)
+        out = {}
+        for text, own, other, decoded in zip(each, split, checked, back, strict=True):
+            ids, packed = b"".join([begin, *map(known, own), end]), _packed(other)
+            agrees = ids == packed and self._decoded(own) == decoded
+            out[text] = (ids, decoded, True) if agrees else (packed, decoded, False)
         for c in long:  # long chunks are rare and seldom come again
-            del cache[c]
-        return checked, agrees
+            del self.cache[c]
+            self.odd.pop(c, None)
+        ids, decoded, agrees = zip(*map(out.__getitem__, texts), strict=True) if texts else ((), (), ())
+        return list(ids), list(decoded), list(agrees)
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        ids, _, agrees = self.run(texts)
+        return ids, agrees
+
+    def _decoded(self, chunks: list[str]) -> str | None:
+        """The text of chunks; null if their bytes are no UTF-8."""
+        if self.odd.keys().isdisjoint(chunks):
+            return "".join(chunks)[1:]
+        parts = b"".join(self.odd[c] if c in self.odd else c.encode() for c in chunks)
+        try:
+            return parts.removeprefix(b" ").decode()
+        except UnicodeDecodeError:
+            return None
 
     def forget(self) -> None:
-        self.cache, self.older = {}, {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # chunks that do not decode to themselves
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text; bytes that are no UTF-8 become U+FFFD."""
@@ -207,6 +267,10 @@ class Vocabulary:
         return parts
 
 
+def _unpacked(ids: bytes):
+    return array("I", ids) if _LITTLE else np.frombuffer(ids, "<u4").tolist()
+
+
 def _packed(ids) -> bytes:
     return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
 
@@ -226,18 +290,12 @@ def _run(shared):
         vocabulary = _vocabulary(shared.value)
         vocabulary.forget()  # what an earlier task left
         for batch, texts in arrays.slices(batches, "_text", 2 * arrays.WIDE_BYTES):
-            plain = [texts.text(i).decode() for i in range(batch.num_rows)]
-            ids, agrees = vocabulary.encode(plain)
-            back = vocabulary.library.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
-            decoded = [vocabulary.decode(x) for x in ids]
-            for k, text in enumerate(back):
-                if decoded[k].decode() != text:
-                    decoded[k], agrees[k] = text.encode(), False
+            ids, decoded, agrees = vocabulary.run([texts.text(i).decode() for i in range(batch.num_rows)])
             yield arrays.replaced(
                 batch,
                 {
                     "ids": pa.array(ids, pa.binary()),
-                    "decoded": pa.array([d.decode() for d in decoded], pa.string()),
+                    "decoded": pa.array(decoded, pa.string()),
                     "library_agrees": pa.array(agrees, pa.bool_()),
                 },
             )
@@ -251,9 +309,10 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (little-endian unsigned 32-bit integers), ``decoded`` and ``library_agrees``.
 
     Begin and end ids are included; a null or empty text has only these and decodes to ''. The
-    sentencepiece library encodes and decodes each whole text too; where it differs, its result is
-    returned and ``library_agrees`` is false. Whole texts of any length are encoded; repeated rows each on their
-    own. Columns of ``docs`` stay, but those named like a new one are replaced.
+    sentencepiece library encodes and decodes each whole text too; where it differs, the row gets its result
+    and ``library_agrees`` is false. Whole texts of any length are encoded; repeated rows have equal
+    results; an empty table gives an empty one. Equal scores merge leftmost first. Columns of ``docs`` stay, but those named like a
+    new one are replaced and names that begin with an underscore go.
     """
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # of the vocabulary's size
