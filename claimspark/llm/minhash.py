@@ -300,7 +300,9 @@ def near_duplicates(
 def with_first(classes: DataFrame, *order: str) -> DataFrame:
     """Rows of ``near_duplicates`` with ``first``: the least ``order`` columns and ``_row`` of the class.
 
-    Classes of any size: their rows are aggregated where they are and spread for the join.
+    Classes of any size: their rows are aggregated where they are and spread for the join. A column
+    named ``first`` is replaced.
     """
+    classes = classes.drop(*(c for c in classes.columns if c.lower() == "first" and c not in order))
     least = classes.groupBy("class_row").agg(F.min(F.struct(*order, ROW)).alias("first"))
     return salted_join(classes, least, "class_row", ROW)
