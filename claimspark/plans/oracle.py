@@ -19,7 +19,7 @@ from ..schemas import (
     STORE_STATUSES,
     SUMMARY_FAILED,
 )
-from .queries import FUZZY_THRESHOLD, RUN_TS, TOPICS
+from .queries import FUZZY_THRESHOLD, PATTERNS, RUN_TS, TOPICS
 
 WS = text.WHITESPACE
 WORD = r"[\p{L}\p{N}]+"
@@ -571,6 +571,7 @@ def all_sql() -> dict[str, str]:
     ).replace("\x03", "\n")
     return {
         "search_topk": search_sql(),
+        "search_postings": search_sql(),
         "valid_urls": """
             SELECT page_id, url FROM (SELECT page_id, CASE page_id % 6 WHEN 1 THEN upper(url)
               WHEN 2 THEN ' ' || url WHEN 3 THEN 'ftp' || substring(url, 5) WHEN 4 THEN NULL
@@ -730,6 +731,16 @@ def all_sql() -> dict[str, str]:
             "SELECT classification, count(*) AS n FROM parsed WHERE classification IS NOT NULL GROUP BY 1", "parsed"
         ),
         "article_upsert": statement("SELECT * FROM current_rows", "current_rows"),
+        "stream_upsert": statement("SELECT * FROM current_rows", "current_rows"),
+        "stream_claim_status": statement("SELECT * FROM results", "results"),
+        "stream_sessions": """
+            SELECT topic, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started,
+              strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS articles_found,
+              count(*) FILTER (event_type = 'view') AS facts_count, count(*) FILTER (event_type = 'error') AS myths_count,
+              count(*) FILTER (event_type = 'click') AS unclear_count
+            FROM (SELECT *, sum(CASE WHEN ts - before <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY topic ORDER BY ts, event_id) AS session
+              FROM (SELECT *, CAST(user_id AS VARCHAR) AS topic, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))
+            GROUP BY topic, session""",
         "upsert_counts": statement(
             "SELECT count(*) AS received, count(url) AS saved, count(*) - count(url) AS refused FROM submitted",
             "submitted",
@@ -750,6 +761,11 @@ def all_sql() -> dict[str, str]:
             "OR summary ILIKE '%LICEN_E%'",
             "current_rows",
         ),
+        "pattern_index": statement(
+            f"SELECT {CURRENT_COLUMNS}, pattern FROM current_rows, (SELECT unnest({texts(PATTERNS)}) AS pattern) "
+            "WHERE " + " OR ".join(f"{c} ILIKE '%' || pattern || '%'" for c in ("url", "title", "summary")),
+            "current_rows",
+        ),
         "stats_by_classification": statement(
             "SELECT classification, count(*) AS n FROM current_rows GROUP BY 1", "current_rows"
         ),

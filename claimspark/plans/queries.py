@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -16,6 +17,7 @@ from ..operators import (
     enrich,
     export,
     factcheck,
+    index,
     prompts,
     publish,
     responses,
@@ -30,13 +32,14 @@ from ..schemas import ARTICLE_LOG, CATEGORIES, CLAIM_STATUSES, CONFIDENCES, SENT
 from ..session import configure, shared_dir, written
 from ..sources import responses as service
 from ..sources import tables
-from ..streaming import ingest
+from ..streaming import ingest, state
 from . import analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = "article_id"
 RUN_TS = datetime(2024, 3, 1, 12, 30, 45)
 TOPICS = ["license apache", "the and", "enlich mit", "para los", "anelle", "thhe onor inin", "unheard"]
+PATTERNS = ["LICEN_E", "h%lich%ung", "an", "t_e", "a\\b", "Example.ORG/d", "%", "qzqzq"]
 FUZZY_THRESHOLD = 0.5
 
 REGISTRY: dict[str, Query] = {}
@@ -139,6 +142,15 @@ def search_topk(spark, folder):
     return retrieval.search_topk(topics, tables.articles(spark, folder), k=10)
 
 
+@query
+def search_postings(spark, folder):
+    """The rows of ``search_topk`` from an index that is built first."""
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    index.build_postings(tables.articles(spark, folder), path)
+    topics = spark.createDataFrame([(t,) for t in TOPICS], "topic STRING")
+    return index.search_postings(topics, path, written)[0]
+
+
 @query
 def valid_urls(spark, folder):
     return scrape.valid_urls(tables.page_links(spark, folder))
@@ -496,6 +508,15 @@ def articles_by_topic(spark, folder):
     return store.articles_by_topic(_current(spark, folder), "LICEN_E").withColumn("created_at", _shown())
 
 
+@query
+def pattern_index(spark, folder):
+    """Articles by several patterns from a trigram index that is built first."""
+    path = f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    index.build_trigrams(_current(spark, folder), path)
+    found = [index.articles_by_topic(spark, p, path).withColumn("pattern", F.lit(p)) for p in PATTERNS]
+    return functools.reduce(DataFrame.unionByName, found).withColumn("created_at", _shown())
+
+
 @query
 def stats_by_classification(spark, folder):
     return store.stats_by(_current(spark, folder), "classification")
@@ -610,3 +631,73 @@ def stream_equals_batch(spark, folder):
     run.awaitTermination()
     log = store.read_log(spark, f"{work}/store", store.ARTICLES)
     return log.select(*ARTICLE_LOG.fieldNames()).withColumn("created_at", _shown())
+
+
+# --- streams with state ----------------------------------------------------------------------
+
+
+def _stream(df: DataFrame, folder: str, again: bool = False) -> DataFrame:
+    """``df`` written to ``folder``, to be read as a stream of its files; ``again``: on top of what is there."""
+    df.write.mode("append" if again else "errorifexists").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+
+
+def _work(spark: SparkSession) -> str:
+    return f"{shared_dir(state.stateful(spark))}/stream-{uuid.uuid4().hex}"
+
+
+@query
+def stream_upsert(spark, folder):
+    """The last row of each url from a stream of all rows, which then come once more in another order."""
+    work = _work(spark)
+    rows = store.article_rows(_submitted(spark, folder), F.col("at"))
+    for turn in (0, 1):
+        stream = _stream(rows.repartition(F.xxhash64("url", "seq", F.lit(turn))), f"{work}/in", again=turn > 0)
+        state.drained_changes(state.newest_rows(stream), f"{work}/{store.ARTICLES}", f"{work}/checkpoint")
+    return store.current_articles(store.read_log(spark, work, store.ARTICLES)).drop("run").withColumn("created_at", _shown())
+
+
+@query
+def stream_claim_status(spark, folder):
+    """Claim results where all reviews come a day after the claims, and in a later run."""
+    work = _work(spark)
+    started = F.lit("2024-01-01").cast("timestamp")
+    listed = claims.explode_claims(_articles(spark, folder), KEY, claims.claim_list(F.col("summary")))
+    listed = listed.withColumn("claimed_at", F.timestamp_add("MILLISECOND", F.col(KEY), started))
+    reviews = tables.reviews(spark, folder).withColumn("reviewed_at", F.timestamp_add("DAY", F.lit(1), started))
+
+    def last(df: DataFrame, at: str, text: str) -> DataFrame:
+        """A row that moves the watermark of its side past all waits. It needs a text, or a filter drops it before."""
+        given = {at: F.lit("2025-01-01"), text: F.lit(f"last {text}")}
+        return spark.range(1).select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema))
+
+    left, right = _stream(listed, f"{work}/claims"), _stream(reviews.where("false"), f"{work}/reviews")
+
+    def run() -> None:
+        found = state.reviewed_claims(left, right, "60 days", "1 hour")
+        state.drained(found, f"{work}/out", f"{work}/checkpoint")
+
+    run()
+    _stream(reviews, f"{work}/reviews", again=True)
+    run()
+    _stream(last(listed, "claimed_at", "claim"), f"{work}/claims", again=True)
+    _stream(last(reviews, "reviewed_at", "claim_text"), f"{work}/reviews", again=True)
+    run()
+    return state.claim_results(spark.read.parquet(f"{work}/out").where(F.col(KEY).isNotNull()))
+
+
+@query
+def stream_sessions(spark, folder):
+    """Sessions of the events of each user, as those of a topic, from a stream."""
+    work = _work(spark)
+    status = F.when(F.col("event_type") == "view", "Fact").when(F.col("event_type") == "error", "Myth")
+    events = tables.table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("topic"), F.col("ts").cast("timestamp").alias("at"),
+        F.when(F.col("event_type") == "click", "Unclear").otherwise(status).alias("fact_myth_status"),
+    )
+    stream = _stream(events, f"{work}/in")
+    # A last row moves the watermark past all sessions; its own stays open.
+    last = spark.range(1).select(F.lit("").alias("topic"), F.lit("2100-01-01").cast("timestamp").alias("at"), F.lit(None).cast("string").alias("fact_myth_status"))
+    _stream(last, f"{work}/in", again=True)
+    state.drained(state.session_rows(stream, "topic", "at", "30 minutes", "1 hour"), f"{work}/out", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/out").withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("started", "ended")})
