@@ -295,3 +295,57 @@ def test_query_digests(spark, small, texts):
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     assert len(LONG) > 100_000
+
+
+# --- quality and leaks of what is learned ----------------------------------------------------
+
+SF = "/root/testdata/sf0.1"
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Recall and precision at the cut on labelled rows that nothing was learned from."""
+    rows = queries.REGISTRY["op5_toxicity"](spark, SF).where("held_out").select("doc_id", "predicted")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in rows.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    caught = n[1, 1]
+    assert caught >= 100
+    assert caught / (caught + n.get((1, 0), 0)) >= 0.9 and caught / (caught + n.get((0, 1), 0)) >= 0.9
+
+
+def test_held_out_labels_do_not_teach(spark, small, tmp_path):
+    """The scores are the same whatever the labels of held-out rows say."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    held = queries.held_out(4, 2)
+    scores = []
+    for name, toxic in (("as given", F.col("toxic")), ("turned", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))):
+        folder = tmp_path / name
+        labels.withColumn("toxic", toxic.cast("int")).write.parquet(str(folder / "labels.parquet"))
+        spark.read.parquet(f"{small}/documents.parquet").write.parquet(str(folder / "documents.parquet"))
+        scores.append({r["doc_id"]: r["score"] for r in queries.REGISTRY["op5_toxicity"](spark, str(folder)).collect()})
+    assert scores[0] == scores[1]
+
+
+def plain_best_fit(sizes, shards, capacity):
+    """Each size, in descending order, into the fullest bin that holds it; null if one fits nowhere."""
+    room, out = [], []
+    for size in sizes:
+        fits = [(r, k) for k, r in enumerate(room) if r >= size]
+        if not fits:
+            if len(room) == shards or size > capacity:
+                return None
+            room.append(capacity)
+            fits = [(capacity, len(room) - 1)]
+        _, k = min(fits)
+        room[k] -= size
+        out.append(k)
+    return out
+
+
+def test_best_fit_equals_the_plain_one():
+    rng = np.random.default_rng(2)
+    for n, shards in ((1, 3), (7, 3), (200, 8), (500, 40)):
+        sizes = sorted((int(x) for x in rng.pareto(1.2, n) * 50 + 1), reverse=True)
+        placed = shard.best_fit(sizes, shards)
+        loads = [sum(s for s, k in zip(sizes, placed, strict=True) if k == b) for b in range(shards)]
+        capacity = next(c for c in range(max(loads) - 2, 2 * max(loads) + 1) if plain_best_fit(sizes, shards, c))
+        assert plain_best_fit(sizes, shards, capacity) == placed and capacity >= max(loads)
