@@ -1,16 +1,20 @@
-"""Key themes of an article: its most specific words."""
+"""Key themes of an article: its most specific words, and its phrases of two words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .joins import hot_cold_lookup
+from .joins import hot_cold_lookup, lookup_join, salted_join
 
 # A token in more than one of HOT_SHARE documents is hot. Document frequencies sum to documents
 # times the mean number of distinct tokens, so there are at most HOT_SHARE times that mean of them.
 HOT_SHARE = 200
+MIN_COUNT = 3  # of a phrase in the corpus
+MIN_RATIO = 10.83  # log-likelihood ratio that chance exceeds once in a thousand
 
 
 def term_counts(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -45,3 +49,53 @@ def key_themes(
         .agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("ranked"))
         .select(key, F.col("ranked.token").alias("key_themes"))
     )
+
+
+def phrase_counts(df: DataFrame, key: str, content: str) -> DataFrame:
+    """``key, first, second, tf`` of neighbouring tokens. Counted before the shuffle; linear in the text."""
+
+    def neighbours(tokens: Column) -> Column:
+        pairs = F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+        return F.filter(pairs, lambda p: p["second"].isNotNull())
+
+    pairs = df.where(F.col(content).isNotNull()).select(key, F.inline(text.bind(text.tokens(F.col(content)), neighbours)))
+    return pairs.groupBy(key, "first", "second").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def phrases(counts: DataFrame, min_count: int = MIN_COUNT, min_ratio: float = MIN_RATIO) -> DataFrame:
+    """``phrase, ratio`` of the pairs that stand together more often than their words alone explain.
+
+    ``ratio`` is the log-likelihood ratio of the two-by-two table of first and second words.
+    """
+    both = counts.groupBy("first", "second").agg(F.sum("tf").alias("n12"))
+    total = both.agg(F.sum("n12").alias("n")).scalar()
+    firsts = both.groupBy("first").agg(F.sum("n12").alias("n1"))
+    seconds = both.groupBy("second").agg(F.sum("n12").alias("n2"))
+    often = both.where(F.col("n12") >= min_count)
+    table = salted_join(salted_join(often, firsts, "first", "second"), seconds, "second", "first").withColumn("n", total)
+    n12, n1, n2, n = (F.col(c).cast("double") for c in ("n12", "n1", "n2", "n"))
+
+    def h(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    cells = h(n12) + h(n1 - n12) + h(n2 - n12) + h(n - n1 - n2 + n12)
+    ratio = F.round(2 * (cells + h(n) - h(n1) - h(n - n1) - h(n2) - h(n - n2)), 4)
+    found = table.where(n12 * n > n1 * n2).select(F.concat_ws(" ", "first", "second").alias("phrase"), ratio.alias("ratio"))
+    return found.where(F.col("ratio") >= min_ratio)
+
+
+def key_phrases(
+    df: DataFrame, keep: Callable[[DataFrame], DataFrame], key: str = "article_id", content: str = "content", n: int = 5
+) -> DataFrame:
+    """``key, key_phrases``: the ``n`` phrases of the highest count times ratio, best first, ties by phrase.
+
+    ``keep``, such as ``session.written``, stores the counts, which the corpus statistics and the articles both
+    read. Texts without a phrase have no row.
+    """
+    counts = keep(phrase_counts(df, key, content))
+    named = counts.select(key, F.concat_ws(" ", "first", "second").alias("phrase"), "tf")
+    score = F.round(F.col("tf") * F.col("ratio"), 3)
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "phrase")
+    ranked = lookup_join(named, phrases(counts), "phrase", key).withColumn("score", score).withColumn("rank", F.row_number().over(best))
+    lists = ranked.where(F.col("rank") <= n).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("ranked"))
+    return lists.select(key, F.col("ranked.phrase").alias("key_phrases"))

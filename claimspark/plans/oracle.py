@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from ..functions import html, text
-from ..operators import classify, prompts, publish
+from ..operators import classify, prompts, publish, themes, truth
 from ..schemas import (
     CATEGORIES,
     CLAIM_STATUSES,
@@ -192,6 +192,49 @@ def themes_sql(table: str, column: str) -> str:
         FROM r WHERE rn <= 5 GROUP BY article_id"""
 
 
+def phrases_sql(table: str, column: str) -> str:
+    def h(x: str) -> str:
+        return f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
+
+    cells = " + ".join(h(x) for x in ("n12", "n1 - n12", "n2 - n12", "n - n1 - n2 + n12", "n"))
+    sides = " - ".join(h(x) for x in ("n1", "n - n1", "n2", "n - n2"))
+    return f"""
+        WITH w AS (SELECT article_id, {words(column)} AS w FROM {table}),
+        p AS (SELECT article_id, w[k] AS a, w[k + 1] AS b FROM (SELECT article_id, w, unnest(range(1, len(w))) AS k FROM w)),
+        c AS (SELECT article_id, a, b, count(*) AS tf FROM p GROUP BY ALL),
+        both_in AS (SELECT a, b, CAST(sum(tf) AS DOUBLE) AS n12 FROM c GROUP BY a, b),
+        t AS (SELECT a, b, n12, sum(n12) OVER (PARTITION BY a) AS n1, sum(n12) OVER (PARTITION BY b) AS n2, sum(n12) OVER () AS n FROM both_in),
+        r AS (SELECT a, b, round(2 * ({cells} - {sides}), 4) AS ratio FROM t WHERE n12 >= {themes.MIN_COUNT} AND n12 * n > n1 * n2),
+        s AS (SELECT article_id, a || ' ' || b AS phrase, round(tf * ratio, 3) AS score FROM c JOIN r USING (a, b) WHERE ratio >= {themes.MIN_RATIO}),
+        o AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, phrase) AS rn FROM s)
+        SELECT article_id, string_agg(phrase, ' | ' ORDER BY rn) AS key_phrases FROM o WHERE rn <= 5 GROUP BY article_id"""
+
+
+def truth_sql(final: str) -> str:
+    """Rounds of beliefs and weights, one after the other."""
+    rating = "CASE WHEN fact THEN 'True' WHEN (article_id + pos) % 5 > 0 THEN 'False' END"
+    flipped = "desk = 4 OR (desk = 3 AND (article_id + pos) % 3 = 0) OR (desk < 3 AND (article_id * 7 + pos * 3 + desk) % 11 = 0)"
+    parts = [
+        f"said AS (SELECT norm, publisher, {rating} AS rating FROM (SELECT *, 'Desk ' || desk AS publisher, ((article_id + pos) % 2 = 0) <> ({flipped}) AS fact "
+        f"FROM (SELECT article_id, pos, {norm('claim')} AS norm, unnest(range(0, 5)) AS desk FROM claims) WHERE norm <> '' AND (article_id + desk) % 4 <> 0))",
+        "taken AS (SELECT norm AS claim, publisher, avg(CASE WHEN lower(coalesce(rating, '')) IN ('true', 'fact') THEN 1 ELSE 0 END) AS stand, "
+        "count(*) AS n FROM said GROUP BY ALL)",
+        "w0 AS (SELECT DISTINCT publisher, CAST(1 AS DOUBLE) AS weight FROM taken)",
+    ]
+    s = truth.SMOOTHING
+    for k in range(truth.ROUNDS + 1):
+        parts.append(
+            f"b{k} AS (SELECT claim, CASE WHEN sum(weight) > 0 THEN round(sum(weight * stand) / sum(weight), 9) ELSE 0.5 END AS belief, "
+            f"CAST(sum(n) AS BIGINT) AS reviews FROM taken JOIN w{k} USING (publisher) GROUP BY claim)"
+        )
+        if k < truth.ROUNDS:
+            parts.append(
+                f"w{k + 1} AS (SELECT publisher, round(greatest(ln((g + {s}) / (1 - g + {s})), 0), 9) AS weight "
+                f"FROM (SELECT publisher, avg(1 - abs(stand - belief)) AS g FROM taken JOIN b{k} USING (claim) GROUP BY publisher))"
+            )
+    return "WITH " + ", ".join(parts) + " " + final
+
+
 def summary_sql(table: str, column: str) -> str:
     return f"""
         WITH s AS ({unnested(table, 'article_id', sentences(f'substring({column}, 1, 3000)'), 'sentence')}),
@@ -672,6 +715,15 @@ def all_sql() -> dict[str, str]:
         ),
         "classify_lexicon": statement(category_cte("articles", "text"), "articles"),
         "classify_join": statement(category_cte("articles", "text"), "articles"),
+        "claim_truth": statement(
+            truth_sql(
+                f"SELECT claim, round(belief, 6) AS belief, reviews, "
+                f"CASE WHEN belief > 0.5 THEN 'Fact' WHEN belief < 0.5 THEN 'Myth' ELSE 'Unsure' END AS status FROM b{truth.ROUNDS}"
+            ),
+            "claims",
+        ),
+        "publisher_weights": statement(truth_sql(f"SELECT publisher, round(weight, 6) AS weight FROM w{truth.ROUNDS}"), "claims"),
+        "key_phrases": statement(phrases_sql("articles", "text"), "articles"),
         "key_themes": statement(themes_sql("articles", "text"), "articles"),
         "sentiment": statement(sentiment_sql("articles", "text"), "articles"),
         "article_confidence": statement(

@@ -27,6 +27,7 @@ from ..operators import (
     store,
     summarize,
     themes,
+    truth,
 )
 from ..schemas import ARTICLE_LOG, CATEGORIES, CLAIM_STATUSES, CONFIDENCES, SENTIMENTS
 from ..session import configure, shared_dir, written
@@ -300,6 +301,21 @@ def claim_votes_all(spark, folder):
     return factcheck.vote_counts(_checked(spark, folder, None))
 
 
+def _truth(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return truth.discover(truth.stands(tables.disputed_reviews(spark, folder)), written)
+
+
+@query
+def claim_truth(spark, folder):
+    """What is believed of each claim that publishers dispute."""
+    return _truth(spark, folder)[0]
+
+
+@query
+def publisher_weights(spark, folder):
+    return _truth(spark, folder)[1].withColumn("weight", F.round("weight", 6))
+
+
 @query
 def fact_checked(spark, folder):
     shown = F.transform("fact_check_results", lambda r: F.concat_ws("/", r["status"], r["rating"], r["publisher"]))
@@ -339,6 +355,11 @@ def key_themes(spark, folder):
     return themes.key_themes(tables.articles(spark, folder), KEY, "text").select(KEY, _joined("key_themes"))
 
 
+@query
+def key_phrases(spark, folder):
+    return themes.key_phrases(_articles(spark, folder), written).withColumn("key_phrases", F.array_join("key_phrases", " | "))
+
+
 @query
 def sentiment(spark, folder):
     body = F.col("text")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.claims import claim_list, explode_claims
 from ..schemas import CATEGORIES, CONFIDENCES, SENTIMENTS
 
 
@@ -89,6 +90,22 @@ def reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def disputed_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Five publishers on the first claims of all documents, who disagree: ``norm, publisher, textual_rating``.
+
+    Desk 4 always contradicts, desk 3 one time in three, the others now and then; each leaves some out.
+    """
+    doc, pos, desk = F.col("article_id"), F.col("pos"), F.col("desk")
+    listed = explode_claims(articles(spark, folder), "article_id", claim_list(F.col("text")))
+    each = listed.select("article_id", "pos", text.normalised(F.col("claim")).alias("norm"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("desk"))
+    flipped = (desk == 4) | ((desk == 3) & ((doc + pos) % 3 == 0)) | ((desk < 3) & ((doc * 7 + pos * 3 + desk) % 11 == 0))
+    true = ((doc + pos) % 2 == 0) != flipped
+    rating = F.when(true, "True").when((doc + pos) % 5 > 0, "False")
+    return each.where((F.col("norm") != "") & ((doc + desk) % 4 != 0)).select(
+        "norm", F.concat(F.lit("Desk "), desk).alias("publisher"), rating.alias("textual_rating")
+    )
+
+
 def _json_string(c):
     """Text as a JSON string literal; written by hand so that other engines can repeat it."""
     for char, escape in [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]:
