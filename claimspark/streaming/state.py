@@ -25,6 +25,8 @@ _OLDEST = -(1 << 63)
 def stateful(spark: SparkSession) -> SparkSession:
     """State in RocksDB, and sessions merged within a task before the shuffle."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # A batch adds its changes to the checkpoint instead of the files of the whole state.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark
 
