@@ -210,6 +210,18 @@ def phrases_sql(table: str, column: str) -> str:
         SELECT article_id, string_agg(phrase, ' | ' ORDER BY rn) AS key_phrases FROM o WHERE rn <= 5 GROUP BY article_id"""
 
 
+def formatted_sql() -> str:
+    """The lines of the article of each page; its only heading is the first, and it has no lists."""
+    ends = "</?(?:article|h1|p)\\b[^<>]*>"
+    inside = "regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\\z)', 1)"
+    blocks = f"(SELECT count(*) FROM (SELECT unnest(string_split_regex(regexp_replace(html, '(?s)<!--.*?-->|<style>.*?</style>|<script>.*?</script>', '', 'g'), {q('</?(?:html|head|title|body|nav|ul|li|div|article|h1|p|footer)')} || '[^<>]*>')) AS b) WHERE trim(regexp_replace(b, '<[^<>]*>', '', 'g')) <> '')"
+    lines = f"list_filter(list_transform(string_split_regex(regexp_replace({inside}, '<br>', ' ', 'g'), {q(ends)}), lambda b: {plain('b')}), lambda b: b <> '')"
+    return f"""
+        WITH l AS (SELECT page_id AS article_id, url, {lines} AS l, {blocks} AS n_blocks FROM pages)
+        SELECT article_id, url, CASE WHEN len(l) > 0 THEN '# ' || array_to_string(l, chr(10)) ELSE '' END AS text,
+               CAST(n_blocks AS INTEGER) AS n_blocks, CAST(len(l) AS INTEGER) AS n_kept FROM l"""
+
+
 def truth_sql(final: str) -> str:
     """Rounds of beliefs and weights, one after the other."""
     rating = "CASE WHEN fact THEN 'True' WHEN (article_id + pos) % 5 > 0 THEN 'False' END"
@@ -620,6 +632,7 @@ def all_sql() -> dict[str, str]:
               WHEN 2 THEN ' ' || url WHEN 3 THEN 'ftp' || substring(url, 5) WHEN 4 THEN NULL
               ELSE url END AS url FROM pages)
             WHERE starts_with(url, 'http://') OR starts_with(url, 'https://')""",
+        "page_formatted": formatted_sql(),
         "page_text": statement("SELECT article_id, url, text FROM extracted", "extracted"),
         "page_metadata": statement(
             "SELECT article_id, url, title, "

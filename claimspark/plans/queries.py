@@ -18,6 +18,7 @@ from ..operators import (
     export,
     factcheck,
     index,
+    pagetext,
     prompts,
     publish,
     responses,
@@ -162,6 +163,13 @@ def page_text(spark, folder):
     return scrape.page_text(tables.pages(spark, folder))
 
 
+@query
+def page_formatted(spark, folder):
+    """Main text with headings kept; every third page has no article element, so density decides."""
+    plain = F.regexp_replace("html", "<(/?)article>", "<$1div>")
+    return pagetext.formatted_text(tables.pages(spark, folder).withColumn("html", F.when(F.col(KEY) % 3 == 1, plain).otherwise(F.col("html"))))
+
+
 @query
 def page_metadata(spark, folder):
     return scrape.page_metadata(tables.pages(spark, folder))
