@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from ..functions import html, text
-from ..operators import classify, prompts, publish, themes, truth
+from ..operators import classify, prompts, publish, summarize, themes, truth
 from ..schemas import (
     CATEGORIES,
     CLAIM_STATUSES,
@@ -260,6 +260,30 @@ def summary_sql(table: str, column: str) -> str:
         SELECT d.article_id, p.summary FROM {table} d LEFT JOIN p USING (article_id)"""
 
 
+def central_sql(table: str, column: str) -> str:
+    """Ranks after as many rounds as the operator does."""
+    d = summarize.DAMPING
+    return f"""
+        WITH RECURSIVE s AS ({unnested(table, 'article_id', sentences(f'substring({column}, 1, 3000)'), 'sentence')}),
+        t AS (SELECT DISTINCT article_id, pos, unnest({words('sentence')}) AS token FROM s),
+        z AS (SELECT article_id, pos, count(*) AS size, count(*) OVER (PARTITION BY article_id) AS n FROM t GROUP BY article_id, pos),
+        c AS (SELECT x.article_id, x.pos AS a, y.pos AS b, count(*) AS shared
+              FROM t x JOIN t y ON x.article_id = y.article_id AND x.token = y.token GROUP BY ALL),
+        w AS (SELECT c.article_id, a, b, shared / sqrt(x.size * y.size) AS w FROM c
+              JOIN z x ON x.article_id = c.article_id AND x.pos = a JOIN z y ON y.article_id = c.article_id AND y.pos = b),
+        e AS (SELECT article_id, a, b, w / sum(w) OVER (PARTITION BY article_id, a) AS step FROM w),
+        r AS (SELECT 0 AS round, article_id, pos, 1.0::DOUBLE / n AS score, n FROM z
+              UNION ALL
+              SELECT r.round + 1, e.article_id, e.b, (1 - {d}::DOUBLE) / any_value(r.n) + {d}::DOUBLE * sum(r.score * e.step), any_value(r.n)
+              FROM r JOIN e ON e.article_id = r.article_id AND e.a = r.pos WHERE r.round < {summarize.CENTRAL_ROUNDS}
+              GROUP BY r.round, e.article_id, e.b),
+        o AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY round(score, 6) DESC, pos) AS rn
+              FROM r WHERE round = {summarize.CENTRAL_ROUNDS}),
+        p AS (SELECT article_id, string_agg(sentence, '. ' ORDER BY pos) || '.' AS summary
+              FROM o JOIN s USING (article_id, pos) WHERE rn <= 3 GROUP BY article_id)
+        SELECT d.article_id, p.summary FROM {table} d LEFT JOIN p USING (article_id)"""
+
+
 def confidence_sql(reviewed: str, total: str) -> str:
     return (
         f"CASE WHEN {reviewed} = 0 THEN 'low' WHEN {reviewed} * 2 >= {total} THEN 'high' "
@@ -675,6 +699,7 @@ def all_sql() -> dict[str, str]:
             FROM reviews""",
             "reviews",
         ),
+        "central_summary": statement(central_sql("articles", "content"), "articles"),
         "extractive_summary": statement(summary_sql("articles", "content"), "articles"),
         "summary_fallback": statement(
             f"SELECT article_id, url, CASE WHEN article_id % 3 <> 0 THEN {strip('title')} "

@@ -246,6 +246,12 @@ def extractive_summary(spark, folder):
     return _articles(spark, folder).select(KEY, summary.alias("summary"))
 
 
+@query
+def central_summary(spark, folder):
+    summary = summarize.central_summary(F.col("content"))
+    return _articles(spark, folder).select(KEY, summary.alias("summary"))
+
+
 @query
 def summary_fallback(spark, folder):
     """Two thirds of the articles have a model summary, a third none."""
