@@ -21,6 +21,26 @@ STATUS = T.StructType(
 )
 
 
+def caller(
+    names: list[str], fallback: Mapping[str, Any], max_attempts: int, backoff: float, sleep: Callable[[float], None]
+) -> Callable[[Callable[[Row], Mapping[str, Any]], Row], Row]:
+    """A function that calls another on a row, again after an error, and gives its values or the fallback with a status."""
+
+    def call(fn: Callable[[Row], Mapping[str, Any]], row: Row) -> Row:
+        error = None
+        for attempt in range(max_attempts):
+            if attempt:
+                sleep(backoff * 2 ** (attempt - 1))
+            try:
+                values = fn(row)
+                return {**{n: values.get(n) for n in names}, "ok": True, "error": None, "attempts": attempt + 1}
+            except Exception as e:  # a failing row must not fail the task
+                error = f"{type(e).__name__}: {e}"
+        return {**{n: fallback.get(n) for n in names}, "ok": False, "error": error, "attempts": max_attempts}
+
+    return call
+
+
 def enrich(
     df: DataFrame,
     make_fn: Callable[[], Callable[[Row], Mapping[str, Any]]],
@@ -46,19 +66,7 @@ def enrich(
     source = df if callers is None else df.repartition(callers)
     output = T.StructType([*df.schema.fields, *added.fields, *STATUS.fields])
     arrow_added = to_arrow_schema(T.StructType([*added.fields, *STATUS.fields]))
-    names = added.fieldNames()
-
-    def call(fn: Callable[[Row], Mapping[str, Any]], row: Row) -> Row:
-        error = None
-        for attempt in range(max_attempts):
-            if attempt:
-                sleep(backoff * 2 ** (attempt - 1))
-            try:
-                values = fn(row)
-                return {**{n: values.get(n) for n in names}, "ok": True, "error": None, "attempts": attempt + 1}
-            except Exception as e:  # a failing row must not fail the task
-                error = f"{type(e).__name__}: {e}"
-        return {**{n: fallback.get(n) for n in names}, "ok": False, "error": error, "attempts": max_attempts}
+    call = caller(added.fieldNames(), fallback, max_attempts, backoff, sleep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make_fn()

@@ -782,6 +782,15 @@ def all_sql() -> dict[str, str]:
               CASE WHEN doc_id % 7 = 3 THEN 'ValueError: refused' END AS error,
               CASE WHEN doc_id % 7 = 3 THEN 3 ELSE 1 END AS attempts
             FROM documents""",
+        "enrich_answers": f"""
+            WITH a AS (SELECT doc_id AS article_id, text, length(text) % 7 <> 3 AS fine FROM documents)
+            SELECT article_id, coalesce(fine, false) AS ok,
+              CASE WHEN fine THEN len(list_filter(string_split_regex(text, {q(WS + '+')}), lambda w: w <> '')) ELSE -1 END AS words,
+              CASE WHEN text IS NULL THEN 'no prompt' WHEN NOT fine THEN 'ValueError: refused' END AS error,
+              CASE WHEN text IS NULL THEN 0 WHEN fine THEN 1 ELSE 3 END AS attempts,
+              CASE WHEN fine AND text IN (SELECT text FROM documents WHERE lang = 'en' AND text IS NOT NULL) THEN 'first'
+                   WHEN text IS NOT NULL THEN 'second' END AS run
+            FROM a""",
         "classification_counts": counts("classification", CATEGORIES, "parsed", "parsed"),
         "fact_status_counts": counts("overall_status", CLAIM_STATUSES, "all_votes", "all_votes"),
         "confidence_counts": counts("confidence", CONFIDENCES, "parsed", "parsed"),

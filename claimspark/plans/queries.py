@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsontext, text
 from ..operators import (
+    answers,
     classify,
     claims,
     enrich,
@@ -425,6 +426,31 @@ def enrich_local(spark, folder):
     return enrich.enrich(docs, client, "words BIGINT", {"words": -1}, backoff=0.0).drop("text")
 
 
+@query
+def enrich_answers(spark, folder):
+    """A stand-in client that refuses some texts, asked in two runs: first about the English documents, then about all."""
+
+    def client():
+        def count(prompt):
+            if len(prompt) % 7 == 3:
+                raise ValueError("refused")
+            return {"words": len(prompt.split())}
+
+        return count
+
+    docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias(KEY), "text", "lang")
+    table = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+
+    def ask(some: DataFrame, run: str) -> DataFrame:
+        done = answers.answered(
+            some, "text", KEY, client, "words BIGINT", {"words": -1}, table, run, callers=4, keep=written, every=500, backoff=0.0
+        )
+        return done.drop("text", "lang")
+
+    ask(docs.where(F.col("lang") == "en"), "first")
+    return ask(docs, "second")
+
+
 # --- statistics ------------------------------------------------------------------------------
 
 
