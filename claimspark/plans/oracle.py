@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from ..functions import html, text
-from ..operators import classify, prompts, publish, summarize, themes, truth
+from ..operators import classify, polarity, prompts, publish, summarize, themes, truth
 from ..schemas import (
     CATEGORIES,
     CLAIM_STATUSES,
@@ -179,6 +179,37 @@ def sentiment_sql(table: str, column: str) -> str:
         FROM (SELECT article_id, {count(plus)} AS positive, {count(minus)} AS negative FROM {table})"""
 
 
+def polarity_sql(final: str) -> str:
+    """``l``: learned words; ``v``: all words with the sign of their place; ``g``: weights of learned words and seeds."""
+    seeds = ", ".join(f"({q(t)}, {s})" for t, s in polarity.SEEDS.items())
+    k, own = polarity.SMOOTHING, polarity.SEED_WEIGHT
+    return f"""
+        WITH seeds(token, side) AS (VALUES {seeds}),
+        s AS (SELECT article_id, pos, {words('sentence')} AS w FROM ({unnested('articles', 'article_id', sentences('text'), 'sentence')})),
+        i AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM s),
+        v AS (SELECT article_id, pos, w[i] AS token,
+              CASE WHEN list_has_any(w[greatest(i - {polarity.SCOPE}, 1):i - 1], {texts(polarity.NEGATIONS)}) THEN -1 ELSE 1 END AS sign FROM i),
+        f AS (SELECT article_id, pos, max(CASE WHEN sign * side = 1 THEN 1 ELSE 0 END) AS p, max(CASE WHEN sign * side = -1 THEN 1 ELSE 0 END) AS n
+              FROM v JOIN seeds USING (token) GROUP BY ALL),
+        a AS (SELECT sum(p) AS ps, sum(n) AS ns FROM f),
+        c AS (SELECT token, CAST(sum(CASE WHEN sign > 0 THEN p ELSE n END) AS BIGINT) AS positive,
+              CAST(sum(CASE WHEN sign > 0 THEN n ELSE p END) AS BIGINT) AS negative
+              FROM (SELECT DISTINCT article_id, pos, token, sign FROM v) JOIN f USING (article_id, pos)
+              WHERE token NOT IN (SELECT token FROM seeds) AND NOT list_contains({texts(polarity.NEGATIONS)}, token) GROUP BY token),
+        r AS (SELECT token, positive, negative, round(log2((positive + {k}) * (ns + 1) / ((negative + {k}) * (ps + 1))), 6) AS weight FROM c, a),
+        l AS (SELECT * FROM r WHERE positive + negative >= {polarity.MIN_COUNT} AND abs(weight) >= {polarity.MIN_WEIGHT}),
+        g AS (SELECT token, weight FROM l UNION ALL SELECT token, side * {own}::DOUBLE FROM seeds)
+        {final}"""
+
+
+LEARNED_SENTIMENT = f"""
+    , h AS (SELECT article_id, CAST(sum(CASE WHEN sign * weight > 0 THEN CAST(round(abs(weight) * 1000000) AS BIGINT) ELSE 0 END) AS DOUBLE) / 1000000 AS positive,
+            CAST(sum(CASE WHEN sign * weight < 0 THEN CAST(round(abs(weight) * 1000000) AS BIGINT) ELSE 0 END) AS DOUBLE) / 1000000 AS negative FROM v JOIN g USING (token) GROUP BY article_id),
+    o AS (SELECT d.article_id, coalesce(positive, 0) AS positive, coalesce(negative, 0) AS negative FROM articles d LEFT JOIN h USING (article_id))
+    SELECT *, CASE WHEN positive = 0 AND negative = 0 THEN 'neutral' WHEN positive >= negative * {polarity.RATIO} THEN 'positive'
+      WHEN negative >= positive * {polarity.RATIO} THEN 'negative' ELSE 'mixed' END AS sentiment FROM o"""
+
+
 def themes_sql(table: str, column: str) -> str:
     return f"""
         WITH t AS (SELECT article_id, unnest({words(column)}) AS token FROM {table}),
@@ -764,6 +795,8 @@ def all_sql() -> dict[str, str]:
         "key_phrases": statement(phrases_sql("articles", "text"), "articles"),
         "key_themes": statement(themes_sql("articles", "text"), "articles"),
         "sentiment": statement(sentiment_sql("articles", "text"), "articles"),
+        "polarity_weights": statement(polarity_sql("SELECT * FROM l"), "articles"),
+        "learned_sentiment": statement(polarity_sql(LEARNED_SENTIMENT), "articles"),
         "article_confidence": statement(
             f"SELECT article_id, {confidence_sql(f'({REVIEWED})', 'claim_count')} AS confidence FROM all_votes",
             "all_votes",

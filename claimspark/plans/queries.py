@@ -20,6 +20,7 @@ from ..operators import (
     factcheck,
     index,
     pagetext,
+    polarity,
     prompts,
     publish,
     responses,
@@ -383,6 +384,18 @@ def sentiment(spark, folder):
     ).select(KEY, "c.positive", "c.negative", "sentiment")
 
 
+@query
+def polarity_weights(spark, folder):
+    return polarity.learn(tables.articles(spark, folder), content="text")
+
+
+@query
+def learned_sentiment(spark, folder):
+    docs = tables.articles(spark, folder)
+    weights = written(polarity.learn(docs, content="text"))
+    return polarity.learned_sentiment(docs, polarity.with_seeds(weights), content="text")
+
+
 @query
 def article_confidence(spark, folder):
     checked = _checked(spark, folder, None)
