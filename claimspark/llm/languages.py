@@ -5,8 +5,10 @@ holds bit ``i`` of every filter as a mask of languages. A few look-ups and ANDs
 that contain an n-gram. A text's score for a language is the share of its n-grams found there, less
 what the filter reports by chance (its fill to the power of the number of hashes).
 
-A language contains an n-gram that is among its most frequent ones and not much rarer there than
-elsewhere; both are shares, so what is learned does not depend on the size of the training data.
+A language contains an n-gram that is not much rarer there than in the language where it is most frequent.
+Texts with passages of another language bring its n-grams in: with every n-gram of the training texts the
+filters grow alike as the corpus grows, and decide less and less. There is no cap on the number of n-grams;
+the table is sized by the language with the most of them.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ from .tables import plain, schema_with
 
 GRAM = 4  # bytes
 SAMPLE_DOCS = 4_000  # of a language, about: the bound of the training sample
-GRAMS = 20_000  # of a language
 LEAST_SHARE = 0.3  # of the n-gram's rate in the language where it is most frequent
-ENTRIES = 1 << 19
+ENTRIES_PER_GRAM = 8  # at least, of the language with the most n-grams; the fill is then at most about 0.31
 HASHES = 3
 UNKNOWN = "und"
 
@@ -68,10 +69,12 @@ class Filters:
     def __init__(self, languages: list[str], grams: dict[str, np.ndarray]):
         self.languages = languages
         self.tables = []
+        most = max((len(g) for g in grams.values()), default=0)
+        self.entries = 1 << max(6, (ENTRIES_PER_GRAM * most - 1).bit_length())
         for at in range(0, len(languages), 64):
-            table = np.zeros(ENTRIES, np.uint64)
+            table = np.zeros(self.entries, np.uint64)
             for k, name in enumerate(languages[at : at + 64]):
-                for place in _places(grams.get(name, np.zeros(0, np.uint64))):
+                for place in _places(grams.get(name, np.zeros(0, np.uint64)), self.entries):
                     table[place] |= np.uint64(1) << np.uint64(k)
             self.tables.append(table)
         fill = [((t >> np.uint64(k)) & np.uint64(1)).mean() for at, t in enumerate(self.tables) for k in range(len(languages[64 * at : 64 * at + 64]))]
@@ -83,7 +86,7 @@ class Filters:
         full = np.flatnonzero(counts)
         begin = np.cumsum(counts)[full] - counts[full]
         if len(full):
-            places = _places(codes)
+            places = _places(codes, self.entries)
             for at, table in enumerate(self.tables):
                 mask = table[places[0]]
                 for place in places[1:]:
@@ -95,9 +98,11 @@ class Filters:
         return np.clip((rate - self.chance) / np.maximum(1e-9, 1 - self.chance), 0, 1) * (counts > 0)[:, None]
 
 
-def _places(codes: np.ndarray) -> list[np.ndarray]:
+def _places(codes: np.ndarray, entries: int) -> list[np.ndarray]:
+    """The places of each code for each hash: steps of a second hash from a first, ``entries`` being a power of two."""
     h = arrays.mixed(codes + np.uint64(0x9E3779B97F4A7C15))
-    return [((h >> np.uint64(20 * k)) & np.uint64(ENTRIES - 1)).astype(np.int64) for k in range(HASHES)]
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return [((h + np.uint64(k) * step) & np.uint64(entries - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Filters:
@@ -115,12 +120,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     counts = sample.select("text", "lang").mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     rated = counts.withColumn("rate", rate).withColumn("most", F.max("rate").over(Window.partitionBy("code")))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    kept = rated.where(F.col("rate") >= LEAST_SHARE * F.col("most")).withColumn("rank", first).where(F.col("rank") <= GRAMS)
-    grams: dict[str, list[int]] = {}
-    for r in kept.select("lang", "code").toLocalIterator():
-        grams.setdefault(r["lang"], []).append(r["code"])
-    return Filters(languages, {name: np.array(v, np.int64).view(np.uint64) for name, v in grams.items()})
+    # The sample bounds what is collected: its distinct n-grams of four bytes.
+    grams = rated.where(F.col("rate") >= LEAST_SHARE * F.col("most")).select("lang", "code").toArrow()
+    names = np.array(grams.column("lang").to_pylist(), object)
+    codes = grams.column("code").to_numpy().view(np.uint64)
+    return Filters(languages, {name: codes[names == name] for name in languages})
 
 
 def _predict(shared):
@@ -148,7 +152,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
     frequent in training with score 0; so do ties the more frequent one. Columns of ``docs`` stay, but
     those named like a new one are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 4 MB for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most 128 bytes an n-gram of the largest language, for each 64 languages
     rows = plain(docs, "lang_pred", "score").withColumns({"_text": F.col(text), "_letters": F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))})
     out = rows.mapInArrow(_predict(shared), schema_with(rows, lang_pred=T.StringType(), score=T.DoubleType()))
     return out.drop("_text", "_letters")

@@ -1,6 +1,7 @@
 """Decontamination, sharding, pieces, language and toxicity against plain Python."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -211,6 +212,36 @@ def test_filters_hold_their_ngrams_and_correct_for_chance():
     assert shares[0, 3] == 1 and abs(np.delete(shares[0], 3)).max() < 0.02
 
 
+def plain_grams(text):
+    """The 4-byte n-grams of a text, A-Z lower-cased and all ASCII white space as blanks."""
+    data = re.sub(rb"[\x09-\x0d]", b" ", (text or "").encode().lower())
+    return [int.from_bytes(data[i : i + 4], "little") for i in range(len(data) - 3)]
+
+
+def test_every_ngram_of_a_language_is_in_its_filter(spark, texts, documents, monkeypatch):
+    """The filters hold the plain sets of n-grams not much rarer than elsewhere; shares are those of the sets but for chance."""
+    taught = {}
+    monkeypatch.setattr(languages, "Filters", lambda names, grams, made=languages.Filters: taught.update(grams) or made(names, grams))
+    filters = languages.learn(documents)
+    lang = {r["doc_id"]: r["lang"] for r in documents.collect()}
+    counts = {name: Counter() for name in filters.languages}
+    for doc, text in texts.items():
+        if lang[doc] is not None:
+            counts[lang[doc]].update(plain_grams(text))
+    rates = {name: {g: n / c.total() for g, n in c.items()} for name, c in counts.items()}
+    most = {g: max(r.get(g, 0) for r in rates.values()) for r in rates.values() for g in r}
+    expected = {name: {g for g, rate in r.items() if rate >= languages.LEAST_SHARE * most[g]} for name, r in rates.items()}
+    assert {name: set(g.tolist()) for name, g in taught.items()} == expected
+    assert filters.entries >= languages.ENTRIES_PER_GRAM * max(map(len, expected.values()))
+    some = [t for t in texts.values() if t][:50] + ["zzzzqqqq xxxxjjjj", "the"]
+    codes = [plain_grams(t) for t in some]
+    shares = filters.shares(np.array([c for own in codes for c in own], np.uint64), np.array([len(c) for c in codes]))
+    for own, row in zip(codes, shares, strict=True):
+        for name, share, chance in zip(filters.languages, row, filters.chance, strict=True):
+            found = sum(c in expected[name] for c in own) / max(1, len(own))
+            assert chance < 0.05 and abs(share - found) < 0.05 + 4 * math.sqrt(chance / max(1, len(own)))
+
+
 def test_languages_of_awkward_rows(edge, others):
     filters = languages.learn(edge)
     out = languages.identify(edge, filters)
