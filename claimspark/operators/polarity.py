@@ -6,6 +6,7 @@ difference of their pointwise mutual information). The words after a negation co
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,9 @@ def signed_tokens(sentence: Column, negations: Sequence[str] = NEGATIONS, scope:
 
     def each(words: Column) -> Column:
         def one(token: Column, i: Column) -> Column:
-            before = F.slice(words, F.greatest(i - (scope - 1), F.lit(1)), F.least(i, F.lit(scope)))
-            negated = F.exists(before, lambda t: t.isin(*negations))
+            # Single look-ups: a slice would copy the whole list for each token.
+            before = (F.coalesce(F.get(words, i - k).isin(*negations), F.lit(False)) for k in range(1, scope + 1))
+            negated = functools.reduce(Column.__or__, before, F.lit(False))
             return F.struct(token.alias("token"), F.when(negated, -1).otherwise(1).alias("sign"))
 
         return F.transform(words, one)

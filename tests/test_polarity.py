@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -102,3 +103,13 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "article_id long, content string")
     assert polarity.learn(empty).count() == 0
     assert polarity.learned_sentiment(empty, polarity.with_seeds(polarity.learn(empty))).count() == 0
+
+
+def test_a_sentence_without_end_takes_linear_time(spark):
+    """Quadratic work would take many minutes here."""
+    content = "good0 with not bad0 " * 100_000
+    df = spark.createDataFrame([(1, content)], "article_id long, content string")
+    started = time.perf_counter()
+    found = polarity.learned_sentiment(df, polarity.with_seeds(polarity.learn(df))).first()
+    assert time.perf_counter() - started < 60
+    assert found["positive"] == 2 and found["negative"] == 199_998  # all seeds but the first stand after a negation
