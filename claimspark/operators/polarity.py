@@ -37,7 +37,9 @@ def signed_tokens(sentence: Column, negations: Sequence[str] = NEGATIONS, scope:
             negated = functools.reduce(Column.__or__, before, F.lit(False))
             return F.struct(token.alias("token"), F.when(negated, -1).otherwise(1).alias("sign"))
 
-        return F.transform(words, one)
+        unsigned = F.transform(words, lambda t: F.struct(t.alias("token"), F.lit(1).alias("sign")))
+        any_negation = F.arrays_overlap(words, F.array(*map(F.lit, negations)))
+        return F.when(any_negation, F.transform(words, one)).otherwise(unsigned)
 
     return text.bind(text.tokens(sentence), each)
 
@@ -56,29 +58,32 @@ def _is_seed(seeds: Mapping[str, int], sign: int) -> Callable[[Column], Column]:
 
 def learn(
     df: DataFrame, key: str = "article_id", content: str = "content", seeds: Mapping[str, int] = SEEDS,
-    min_count: int = MIN_COUNT, min_weight: float = MIN_WEIGHT,
+    min_count: int = MIN_COUNT, min_weight: float = MIN_WEIGHT, keep: Callable[[DataFrame], DataFrame] = lambda counts: counts,
 ) -> DataFrame:
     """``token, positive, negative, weight`` of the words learned from all sentences with a seed.
 
     ``positive`` and ``negative`` count sentences with a seed of that side, once a sentence and word. A seed behind a negation is
     of the other side, and so is a word. They are counted before the one shuffle, so a frequent word sends a row a task.
+    ``keep``, such as ``session.written``, stores the counts, which are read twice.
     """
     found = _sentences(df, key, content).select(
         "words",
         F.exists("words", _is_seed(seeds, 1)).cast("int").alias("p"),
         F.exists("words", _is_seed(seeds, -1)).cast("int").alias("n"),
     ).where("p + n > 0")
-    totals = found.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
-    p_total, n_total = totals["p"] or 0, totals["n"] or 0
+    # An empty token in each sentence counts the sentences themselves.
     plain = F.filter(F.array_distinct("words"), lambda w: ~w["token"].isin(*seeds, *NEGATIONS))
+    plain = F.concat(plain, F.array(F.struct(F.lit("").alias("token"), F.lit(1).alias("sign"))))
     each = found.select("p", "n", F.inline(plain))
     with_sign = F.col("sign") > 0
-    counts = each.groupBy("token").agg(
+    counts = keep(each.groupBy("token").agg(
         F.sum(F.when(with_sign, F.col("p")).otherwise(F.col("n"))).alias("positive"),
         F.sum(F.when(with_sign, F.col("n")).otherwise(F.col("p"))).alias("negative"),
-    )
+    ))
+    totals = counts.where("token = ''").first()
+    p_total, n_total = (totals["positive"], totals["negative"]) if totals else (0, 0)
     odds = ((F.col("positive") + SMOOTHING) * (n_total + 1)) / ((F.col("negative") + SMOOTHING) * (p_total + 1))
-    weighed = counts.withColumn("weight", F.round(F.log2(odds), 6))
+    weighed = counts.where("token <> ''").withColumn("weight", F.round(F.log2(odds), 6))
     return weighed.where((F.col("positive") + F.col("negative") >= min_count) & (F.abs("weight") >= min_weight))
 
 

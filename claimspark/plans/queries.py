@@ -386,13 +386,13 @@ def sentiment(spark, folder):
 
 @query
 def polarity_weights(spark, folder):
-    return polarity.learn(tables.articles(spark, folder), content="text")
+    return polarity.learn(tables.articles(spark, folder), content="text", keep=written)
 
 
 @query
 def learned_sentiment(spark, folder):
     docs = tables.articles(spark, folder)
-    weights = written(polarity.learn(docs, content="text"))
+    weights = written(polarity.learn(docs, content="text", keep=written))
     return polarity.learned_sentiment(docs, polarity.with_seeds(weights), content="text")
 
 
