@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 8
+SLICE_ROWS = 20_000
 BROADCAST_ROWS = 100_000
 
 
@@ -42,6 +43,29 @@ def salted_join(
     return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")
 
 
+def counted_join(
+    left: DataFrame, right: DataFrame, on: str, spread: str, count: str, how: str = "inner", slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Join with a ``right`` of one row per key that tells in ``count`` how many rows of ``left`` have the key.
+
+    Only keys of more than ``slice_rows`` rows are cut, each into as many slices as its count needs,
+    so ``right`` has hardly more rows than it had, and no task gets a hot key whole. Of hot keys there
+    are at most the rows of ``left`` by ``slice_rows``; they are broadcast after a row count, and where they are too many
+    for that every key is salted. ``right`` is read twice: hand in a written table.
+    """
+    slices = F.ceil(F.col(count) / slice_rows).cast("int")
+    hot = right.where(F.col(count) > slice_rows).select(on, slices.alias("_slices"))
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if not found:
+        return left.join(right, on, how)
+    if found > BROADCAST_ROWS:
+        return salted_join(left, right, on, spread, how)
+    salt = F.pmod(F.xxhash64(spread), F.coalesce("_slices", F.lit(1))).cast("int")
+    cut_left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_slices")
+    cut_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1)))
+    return cut_left.join(cut_right, [on, "_salt"], how).drop("_salt")
+
+
 def hot_cold_lookup(
     left: DataFrame, lookup: DataFrame, on: str, spread: str, value: str, hot: DataFrame
 ) -> DataFrame:

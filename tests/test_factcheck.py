@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,33 @@ def test_hot_claim_is_split(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def test_counted_join_cuts_hot_keys_alone(spark, monkeypatch):
+    """Cold keys have one row on the right, hot ones as many as their count needs; all ways give the same rows."""
+    rows = [(i, "hot" if i % 3 else f"k{i % 40}" if i % 2 else None) for i in range(3000)]
+    left = spark.createDataFrame(rows, "id BIGINT, k STRING")
+    counts = Counter(k for _, k in rows if k)
+    right = spark.createDataFrame([(k, n, k.upper()) for k, n in [*counts.items(), ("none", 0)]], "k STRING, n BIGINT, v STRING")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how in ("inner", "left"):
+            expected = sorted(left.join(right, "k", how).collect(), key=str)
+            cut = joins.counted_join(left, right.hint("merge"), "k", "id", "n", how, slice_rows=100)
+            assert cut.columns == ["k", "id", "n", "v"] and sorted(cut.collect(), key=str) == expected
+            hot = cut.where("k = 'hot'").groupBy(F.spark_partition_id()).count().select("count").collect()
+            assert len(hot) > 1 and sum(n for n, in hot) == 2000
+            monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+            assert sorted(joins.counted_join(left, right, "k", "id", "n", how, slice_rows=100).collect(), key=str) == expected
+            monkeypatch.undo()
+            plain = joins.counted_join(left, right, "k", "id", "n", how)
+            assert sorted(plain.collect(), key=str) == expected and "_salt" not in plain._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_lookup_join_beyond_its_bound(spark, monkeypatch):
     left = spark.createDataFrame([(i, f"k{i % 5}") for i in range(50)], "id BIGINT, k STRING")
     right = spark.createDataFrame([("k1",), ("k2",), ("k9",)], "k STRING")
