@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import salted_join
+from ..operators.joins import counted_join
 from ..session import written
 from . import arrays
 from .components import components
@@ -230,13 +230,18 @@ def _rest(texts: DataFrame, comp: DataFrame, size: int, least: float) -> DataFra
     shared = spark.sparkContext.broadcast(cells)
     tokens = texts.select("node", "text").mapInArrow(_prefixes(size, least, shared), "node long, token long, place int, n int")
     tokens = written(tokens)
-    common = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    tokens = written(salted_join(tokens, common, "token", "node").join(comp, "node"))
+    common = written(tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1"))
+    tokens = written(counted_join(tokens, common, "token", "node", "m").drop("m").join(comp, "node"))
     sizes = tokens.groupBy("token", "label").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    open_tokens = written(salted_join(tokens, main.select("token", F.col("top.label").alias("main")), "token", "node"))
-    outside = open_tokens.where("label != main").select("token", *(F.col(c).alias(f"{c}_o") for c in ("node", "label", "place", "n", "main")))
-    pairs = open_tokens.drop("main").join(outside, "token").where("label != label_o and (label = main_o or node < node_o)")
+    main = sizes.groupBy("token").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("rows"))
+    main = written(main.where("labels > 1").select("token", F.col("top.label").alias("main"), "rows"))
+    open_tokens = written(counted_join(tokens, main, "token", "node", "rows").drop("rows"))
+    # Sets within ``least`` of each other's size are of the same band of sizes or of neighbouring ones.
+    band = F.floor(F.log("n") / (max(-math.log(least), 1e-6) * (1 + 1e-6)))
+    near = F.explode(F.array(*(band + k for k in (-1, 0, 1)))).alias("band")
+    outside = open_tokens.where("label != main").select("token", near, *(F.col(c).alias(f"{c}_o") for c in ("node", "label", "place", "n", "main")))
+    inside = open_tokens.drop("main").withColumn("band", band)
+    pairs = inside.join(outside, ["token", "band"]).where("label != label_o and (label = main_o or node < node_o)")
     low, high = F.least("n", "n_o"), F.greatest("n", "n_o")
     overlap = F.least(F.col("n") - F.col("place"), F.col("n_o") - F.col("place_o"))
     fits = (low + 1e-9 >= least * high) & (overlap + 1e-9 >= least / (1 + least) * (F.col("n") + F.col("n_o")))
@@ -258,18 +263,18 @@ def near_duplicates(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     signed = written(slim.mapInArrow(_signed(shingle, bands, rows), f"{fields}, _a long, _b long, _null boolean, _bands array<long>"))
     digest = F.struct("_a", "_b", F.when(F.col("_null"), F.col(ROW)).alias("own")).alias("_digest")
-    nodes = written(signed.groupBy(digest).agg(F.min(ROW).alias("node")))
+    nodes = written(signed.groupBy(digest).agg(F.min(ROW).alias("node"), F.count("*").alias("m")))
 
     # Bands of one row of each node; only those that several nodes share.
     bands_of = signed.select(F.col(ROW).alias("node"), F.col("_bands").alias("bands")).join(nodes.select("node"), "node")
     keys = written(bands_of.select("node", F.explode("bands").alias("band")))
-    shared = keys.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    members = written(salted_join(keys, shared, "band", "node"))
+    shared = written(keys.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"))
+    members = written(counted_join(keys, shared, "band", "node", "m"))
     weight = members.groupBy("node").agg(F.sum("m").alias("weight"))
     weighted = written(members.select("band", "node").join(weight, "node"))
-    pivots = weighted.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top"))
-    pivots = pivots.select("band", (-F.col("top.node")).alias("v"))
-    pairs = salted_join(weighted, pivots, "band", "node").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    pivots = weighted.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("top"), F.count("*").alias("m"))
+    pivots = written(pivots.select("band", (-F.col("top.node")).alias("v"), "m"))
+    pairs = counted_join(weighted, pivots, "band", "node", "m").where("node != v").select(F.col("node").alias("u"), "v").distinct()
 
     # One text of each node that shares a band.
     involved = signed.select(F.col(ROW).alias("node"), F.col("_a").alias("a"), F.col("_b").alias("b")).join(weight.select("node"), "node")
@@ -281,20 +286,21 @@ def near_duplicates(
     comp = components(links)
     label = F.coalesce("label", "node").alias("label")
     labelled = written(weighted.select("band", "node").join(comp, "node", "left").select("band", "node", label))
-    open_bands = labelled.groupBy("band").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("band")
-    open_nodes = written(salted_join(labelled, open_bands, "band", "node").select("node", "label").distinct())
+    open_bands = labelled.groupBy("band").agg((F.min("label") != F.max("label")).alias("open"), F.count("*").alias("m"))
+    open_bands = written(open_bands.where("open").select("band", "m"))
+    open_nodes = written(counted_join(labelled, open_bands, "band", "node", "m").select("node", "label").distinct())
     if not open_nodes.isEmpty():
         rest = _rest(texts.join(open_nodes.select("node"), "node"), open_nodes, shingle, similarity)
         more = written(verified(rest, texts, shingle, similarity))
         if not more.isEmpty():
             comp = components(links.unionByName(more))
 
-    named = nodes.join(comp, "node", "left").select("_digest", F.coalesce("label", "node").alias("_label"))
-    # A digest of many rows is spread by the row.
-    out = salted_join(signed.select(*keep, digest), named, "_digest", ROW)
-    sizes = out.groupBy("_label").agg(F.count("*").alias("in_class")).where("in_class > 1")
-    out = salted_join(out, sizes, "_label", ROW, "left")
-    return out.select(*keep, F.col("_label").alias("class_row"), F.coalesce("in_class", F.lit(1)).cast("long").alias("in_class"))
+    # Sizes come from the nodes; the rows themselves meet their node once, a digest of many rows in slices.
+    named = written(nodes.join(comp, "node", "left").select("_digest", "node", "m", F.coalesce("label", "node").alias("_label")))
+    sizes = written(named.groupBy("_label").agg(F.sum("m").alias("_rows"), F.count("*").alias("_nodes")))
+    named = written(counted_join(named, sizes, "_label", "node", "_nodes").select("_digest", F.col("m").alias("_m"), "_label", "_rows"))
+    out = counted_join(signed.select(*keep, digest), named, "_digest", ROW, "_m")
+    return out.select(*keep, F.col("_label").alias("class_row"), F.col("_rows").alias("in_class"))
 
 
 def with_first(classes: DataFrame, *order: str) -> DataFrame:
@@ -304,5 +310,5 @@ def with_first(classes: DataFrame, *order: str) -> DataFrame:
     named ``first`` is replaced.
     """
     classes = classes.drop(*(c for c in classes.columns if c.lower() == "first" and c not in order))
-    least = classes.groupBy("class_row").agg(F.min(F.struct(*order, ROW)).alias("first"))
-    return salted_join(classes, least, "class_row", ROW)
+    least = written(classes.groupBy("class_row").agg(F.min(F.struct(*order, ROW)).alias("first"), F.count("*").alias("_rows")))
+    return counted_join(classes, least, "class_row", ROW, "_rows").drop("_rows")
