@@ -104,6 +104,17 @@ def publish_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("published"))
 
 
+def option_counts(rows: DataFrame) -> DataFrame:
+    """``field, option, position, n``: how many publish rows have each option of the target's selects, zeros included.
+
+    Fields and options are a fixed few, so the counts and the join are of that size.
+    """
+    chosen = [F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("option")) for f in OPTIONS]
+    counts = rows.select(F.inline(F.array(*chosen))).groupBy("field", "option").agg(F.count(F.lit(1)).alias("n"))
+    options = target_schema(rows.sparkSession).where("option IS NOT NULL")
+    return options.join(counts, ["field", "option"], "left").select("field", "option", "position", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def write_publish_rows(
     rows: DataFrame, base: str | None, run: str, folder_each_run: bool = True
 ) -> str | None:

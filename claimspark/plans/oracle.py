@@ -566,10 +566,6 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "page_category": (["page_summaries"], category_cte("page_summaries", "summary")),
     "page_sentiment": (["page_summaries"], sentiment_sql("page_summaries", "summary")),
     "page_themes": (["page_summaries"], themes_sql("page_summaries", "summary")),
-    "content_claims": (["scraped"], unnested("scraped", "article_id", claim_list("content", 5), "claim")),
-    "content_results": (["content_claims", "review_index"], results_cte("content_claims")),
-    "content_votes": (["content_results"], votes_cte("content_results")),
-    "content_category": (["scraped"], category_cte("scraped", "content")),
 }
 
 
@@ -773,7 +769,7 @@ def all_sql() -> dict[str, str]:
         "claim_status": statement("SELECT * FROM results", "results"),
         "claim_votes": statement("SELECT * FROM votes", "votes"),
         "claim_votes_all": statement("SELECT * FROM all_votes", "all_votes"),
-        "fact_checked": statement(
+        "fact_checked": (checked := statement(
             f"""
             SELECT article_id, url, title, r.claims, r.results, overall_status
             FROM articles JOIN votes USING (article_id) JOIN (
@@ -781,7 +777,8 @@ def all_sql() -> dict[str, str]:
                 string_agg({listing}, ' | ' ORDER BY pos) AS results
               FROM results GROUP BY article_id) r USING (article_id)""",
             "articles", "votes",
-        ),
+        )),
+        "stage_files": checked,
         "classify_lexicon": statement(category_cte("articles", "text"), "articles"),
         "classify_join": statement(category_cte("articles", "text"), "articles"),
         "claim_truth": statement(
@@ -913,7 +910,9 @@ def all_sql() -> dict[str, str]:
             "current_rows", "sessions",
         ),
         "publish_rows": statement("SELECT * FROM published", "published"),
-        "publish_counts": statement("SELECT count(*) AS rows, count(*) AS published FROM published", "published"),
+        "publish_counts": statement(
+            "SELECT count(*) AS rows, count(*) FILTER (article_id % 9 <> 0 AND article_id % 11 <> 0) AS published FROM published", "published"
+        ),
         "publish_payload": payload_sql(),
         "run_names": statement(
             f"SELECT topic, topic || '_{RUN_TS:%Y%m%d_%H%M%S}' AS run_name FROM sessions", "sessions"
@@ -935,7 +934,7 @@ def all_sql() -> dict[str, str]:
               SELECT article_id, list(claim ORDER BY pos) AS claims FROM claims GROUP BY ALL) k USING (article_id)""",
             "articles", "votes",
         ),
-        "analysed_articles": statement(
+        "analysed_articles": (composed := statement(
             f"""
             SELECT s.article_id, url, title, content, summary, r.claims, r.fact_check_results,
               overall_status AS overall_fact_status, classification,
@@ -948,14 +947,58 @@ def all_sql() -> dict[str, str]:
                 string_agg(status, ',' ORDER BY pos) AS fact_check_results
               FROM page_results GROUP BY article_id) r USING (article_id)""",
             "page_summaries", "page_votes", "page_category", "page_sentiment", "page_themes",
-        ),
+        )),
+        "stream_analysed": composed,
         "stream_equals_batch": statement(
             f"""
-            SELECT url, title, content AS summary, classification,
+            SELECT url, title, summary, classification,
               CASE overall_status WHEN 'Unsure' THEN 'Unclear' ELSE overall_status END AS fact_myth_status,
               '{RUN_TS:%Y-%m-%d %H:%M:%S}' AS created_at, article_id AS seq
-            FROM scraped JOIN content_votes USING (article_id) JOIN content_category USING (article_id)
-            WHERE starts_with(url, 'http://') OR starts_with(url, 'https://')""",
-            "scraped", "content_votes", "content_category",
+            FROM page_summaries JOIN page_votes USING (article_id) JOIN page_category USING (article_id)""",
+            "page_summaries", "page_votes", "page_category",
+        ),
+        "stream_session_rows": statement(
+            f"""
+            SELECT 'pages' AS topic, count(*) AS articles_found, count(*) FILTER (overall_status = 'Fact') AS facts_count,
+              count(*) FILTER (overall_status = 'Myth') AS myths_count, count(*) FILTER (overall_status = 'Unsure') AS unclear_count,
+              '{RUN_TS:%Y-%m-%d %H:%M:%S}' AS created_at
+            FROM page_votes""",
+            "page_votes",
+        ),
+        "failed_lookups": statement(
+            """
+            SELECT * EXCLUDE (facts, myths, unsure), CASE WHEN facts > myths AND facts > unsure THEN 'Fact' WHEN myths > facts AND myths > unsure THEN 'Myth'
+                ELSE 'Unsure' END AS overall_status
+            FROM (SELECT article_id, pos, claim, CASE WHEN f THEN 'Unsure' ELSE status END AS status,
+                CASE WHEN f THEN 'Error occurred' ELSE rating END AS rating, CASE WHEN f THEN 'None' ELSE publisher END AS publisher,
+                CASE WHEN f THEN '' ELSE publisher_site END AS publisher_site, CASE WHEN f THEN '' ELSE review_url END AS review_url,
+                CASE WHEN f THEN '' ELSE review_date END AS review_date, CASE WHEN f THEN 'low' ELSE confidence END AS confidence
+              FROM (SELECT *, (article_id + pos) % 7 = 3 AS f FROM results))
+            JOIN (SELECT article_id, count(*) FILTER (NOT f AND status = 'Fact') AS facts,
+                count(*) FILTER (NOT f AND status = 'Myth') AS myths, count(*) FILTER (f OR status = 'Unsure') AS unsure
+              FROM (SELECT *, (article_id + pos) % 7 = 3 AS f FROM results) GROUP BY article_id) USING (article_id)""",
+            "results",
+        ),
+        "votes_without_reviews": statement(
+            "SELECT article_id, 0 AS claim_count, 0 AS fact_count, 0 AS myth_count, 0 AS unsure_count, 'Unsure' AS overall_status FROM articles",
+            "articles",
+        ),
+        "store_log": statement("SELECT * FROM current_rows", "current_rows"),
+        "publish_options": statement(
+            "SELECT o.field, option, position, count(value) AS n FROM (VALUES "
+            + ", ".join(f"('{f}', '{o}', {i})" for f, options in publish.OPTIONS.items() for i, o in enumerate(options, 1))
+            + """) o (field, option, position) LEFT JOIN (
+                SELECT 'Fact Status' AS field, "Fact Status" AS value FROM published
+                UNION ALL SELECT 'Classification', "Classification" FROM published
+                UNION ALL SELECT 'Confidence', "Confidence" FROM published) p ON p.field = o.field AND p.value = o.option
+            GROUP BY ALL""",
+            "published",
+        ),
+        "json_export": statement(
+            """
+            SELECT article_id, url, array_to_string(key_claims, ' | ') AS claims, classification,
+              CASE fact_myth_status WHEN 'Unclear' THEN 'Unsure' ELSE fact_myth_status END AS overall_fact_status
+            FROM analysed""",
+            "analysed",
         ),
     }

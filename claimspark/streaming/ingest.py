@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import publish, scrape, store
 from ..schemas import PAGES
 
+ANALYSED = "analysed"
+
 
 def read_pages(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream of JSON page files: ``article_id, url, html``."""
@@ -35,19 +37,20 @@ def ingest(
 ) -> StreamingQuery:
     """Start the ingest of a stream of scraped articles; it ends when all present files are read.
 
-    ``analyse`` turns a micro-batch into analysed articles. Articles and the session row of a
-    batch go to folders named after the batch id, which are replaced if the batch is repeated.
+    ``analyse`` turns a micro-batch into analysed articles; what it finds by comparing articles, such as
+    themes, it finds within the batch. The analysed articles, their log rows and the session row of a
+    batch go to folders named after the batch id, which are replaced if the batch is repeated. The
+    analysed ones are written first and read again, so a lost executor costs no second analysis.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = publish.store_view(analyse(batch))
+        analysed = analyse(batch)
         run, at = f"batch{batch_id:012d}", created_at(batch_id)
-        rows = rows.persist()
-        try:
-            store.save_articles(rows, base, run, at)
-            store.save_session(rows, base, run, topic, at)
-        finally:
-            rows.unpersist()
+        path = f"{base}/{ANALYSED}/run={run}"
+        analysed.write.mode("overwrite").parquet(path)
+        rows = publish.store_view(analysed.sparkSession.read.schema(analysed.schema).parquet(path))
+        store.save_articles(rows, base, run, at)
+        store.save_session(rows, base, run, topic, at)
 
     return (
         articles.writeStream.foreachBatch(write)
