@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +168,46 @@ def train_classifier(
     ).fit(labelled)
 
 
+def surface(content: Column) -> dict[str, Column]:
+    """How a text is written, whatever its words: shares of kinds of characters, and of distinct words and lines.
+
+    All are 0 for a null or empty text.
+    """
+    words, lines = F.split(content, r"\s+"), F.split(content, "\n")
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.coalesce(part / F.when(whole > 0, whole), F.lit(0.0))
+
+    def characters(pattern: str) -> Column:
+        return share(F.regexp_count(content, F.lit(pattern)), F.length(content))
+
+    return {
+        "_letters": characters(r"\p{L}"),
+        "_capitals": characters(r"\p{Lu}"),
+        "_digits": characters(r"\p{Nd}"),
+        "_stops": characters("[.!?]"),
+        "_symbols": characters("[#*$%&|<>]"),
+        "_word_length": share(F.length(content), F.size(words)),
+        "_distinct_words": share(F.size(F.array_distinct(words)), F.size(words)),
+        "_distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
+    }
+
+
+def train_surface_classifier(labelled: DataFrame, content: str, label: str, iterations: int = 50) -> PipelineModel:
+    """A classifier on the :func:`surface` of texts, for labels such as quality that do not depend on topic."""
+    columns = surface(F.col(content))
+    return Pipeline(
+        stages=[
+            StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"),
+            VectorAssembler(inputCols=list(columns), outputCol="_features"),
+            LogisticRegression(
+                featuresCol="_features", labelCol="_label", predictionCol="_class",
+                maxIter=iterations, regParam=0.001,
+            ),
+        ]
+    ).fit(labelled.withColumns(columns))
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str], output: str) -> DataFrame:
     """``keep`` columns and the predicted label name; rows need no label."""
     indexer, *stages = model.stages

@@ -362,13 +362,13 @@ def classify_join(spark, folder):
 
 @query
 def classify_ml(spark, folder):
-    """A classifier trained on three of four labelled documents, applied to all; ``held_out`` rows were not learned from."""
+    """Quality learned from three of four labelled documents, for all; ``held_out`` rows were not learned from."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     docs = tables.table(spark, folder, "documents").select("doc_id", "text", held_out.alias("held_out"))
     label = F.when(F.col("quality") == 1, "credible").when(F.col("quality") == 0, "doubtful")
     labels = tables.table(spark, folder, "labels").select("doc_id", label.alias("label")).where("label IS NOT NULL")
-    model = classify.train_classifier(docs.where("NOT held_out").join(labels, "doc_id"), "text", "label")
-    return classify.predict(model, docs, ["doc_id", "held_out"], "predicted")
+    model = classify.train_surface_classifier(docs.where("NOT held_out").join(labels, "doc_id"), "text", "label")
+    return classify.predict(model, docs.withColumns(classify.surface(F.col("text"))), ["doc_id", "held_out"], "predicted")
 
 
 @query

@@ -223,3 +223,35 @@ def test_prompts(spark):
     assert "3. Claim" in row.c and "4. Claim" not in row.c
     assert '"credibility_score": 0.5\n        }' in row.c and "Other" in row.c
     assert "Fact-check Results" not in row.bare
+
+
+def test_quality_of_held_out_rows(spark):
+    """Nine of ten and more of the held-out labels of either side are found; other folds' rows teach."""
+    from claimspark.plans.queries import REGISTRY
+
+    folder = "/root/testdata/sf0.01"
+    out = REGISTRY["classify_ml"](spark, folder).where("held_out")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality IS NOT NULL").select("doc_id", "quality")
+    rows = [(r.quality, r.predicted) for r in out.join(labels, "doc_id").collect()]
+    for quality, name in ((0, "doubtful"), (1, "credible")):
+        found = [p == name for q, p in rows if q == quality]
+        assert len(found) > 10 and sum(found) >= 0.9 * len(found)
+
+
+def test_surface_of_awkward_texts(spark):
+    texts = [None, "", "Ab1. #", "a a\na a\nb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    columns = classify.surface(F.col("t"))
+    rows = df.withColumns(columns).orderBy("i").collect()
+    assert all(rows[0][c] == 0 for c in columns)
+    assert rows[1]["_letters"] == 0 and rows[1]["_word_length"] == 0
+    assert rows[2]["_letters"] == 2 / 6 and rows[2]["_capitals"] == rows[2]["_digits"] == rows[2]["_symbols"] == 1 / 6
+    assert rows[3]["_distinct_words"] == 2 / 5 and rows[3]["_distinct_lines"] == 2 / 3
+
+
+def test_classifier_on_words(spark):
+    rows = [(i, f"{'soil seed crop' if i % 2 else 'vote law court'} text{i % 7}", "farm" if i % 2 else "state") for i in range(80)]
+    df = spark.createDataFrame(rows, "i INT, t STRING, label STRING")
+    model = classify.train_classifier(df.where("i < 60"), "t", "label")
+    out = classify.predict(model, df.where("i >= 60").select("i", "t"), ["i"], "predicted").collect()
+    assert all(r.predicted == ("farm" if r.i % 2 else "state") for r in out)
