@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimspark.llm import components, hmm, linededup, minhash, quality, queries, repeats, sql
+from claimspark.llm import arrays, components, hmm, linededup, minhash, quality, queries, repeats, sql
 from claimspark.llm.tables import ROW
 
 from .conftest import TOKEN, lower, words
@@ -238,6 +238,34 @@ def test_training_raises_the_likelihood(spark, small):
     assert got[0] < got[1] < got[2]
 
 
+def plain_class(token):
+    """The class of a token from its last two bytes and its length; None is the end."""
+    if token is None:
+        return hmm.CLASSES - 1
+    own = token.encode()
+    code = own[-1] | (own[-2] << 8 if len(own) > 1 else 0) | min(len(own), 12) // 3 << 16
+    return int(arrays.mixed(np.array([code + 1], np.uint64))[0] % np.uint64(hmm.CLASSES - 1))
+
+
+def test_score_equals_plain_forward_and_counts(spark, documents):
+    """The whole score: the chain over classes, and each token given its class, frequent ones and others alike."""
+    df = documents.select("doc_id", "text")
+    model = hmm.learn(df.where("doc_id % 3 > 0"), frequent=100, rounds=1)
+    taught = Counter(t for r in df.where("doc_id % 3 > 0").collect() for t in [*TOKEN.findall(lower(r["text"])), None])
+    of_class, kinds_of_class = Counter(), Counter()
+    for token, n in taught.items():
+        of_class[plain_class(token)] += n
+        kinds_of_class[plain_class(token)] += 1
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    rows = hmm.score(df, model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        own = [*TOKEN.findall(lower(texts[r["doc_id"]])), None]
+        kinds = [plain_class(t) for t in own]
+        given = sum(np.log10((taught[t] + 1) / (of_class[k] + kinds_of_class[k] + 1)) for t, k in zip(own, kinds, strict=True))
+        assert r["score"] == pytest.approx(plain_forward(model.chain, kinds) / np.log(10) + given)
+
+
 def test_base_score_equals_brute_force(spark, documents, edge, others):
     df = documents.select("doc_id", "text")
     model = hmm.learn(df.where("doc_id % 3 > 0"), frequent=100, rounds=1)
