@@ -60,6 +60,22 @@ def test_truth_equals_brute_force_and_finds_the_liar(spark):
     assert all(abs(r["belief"] - found[r["claim"]]["belief"]) < 0.02 for r in more.collect())  # it has converged
 
 
+def test_rounds_move_no_stands(spark, monkeypatch):
+    rows = planted(random.Random(6), 30)
+    reviews = spark.createDataFrame(rows, "norm string, publisher string, textual_rating string")
+    kept = []
+
+    def keep(df):
+        kept.append(df.columns)
+        return written(df)
+
+    found = [sorted(map(str, x.collect())) for x in truth.discover(truth.stands(reviews), keep, rounds=5)]
+    assert kept == [["claim", "publisher", "stand", "n"], ["claim", "stands"]]  # nothing is stored or dealt out again by round
+    monkeypatch.setattr(truth, "FEW_PUBLISHERS", 3)  # four publishers are too many for lists
+    joined = [sorted(map(str, x.collect())) for x in truth.discover(truth.stands(reviews), keep, rounds=5)]
+    assert found == joined and len(kept) > 4
+
+
 def test_truth_of_nothing(spark):
     none = spark.createDataFrame([], "norm string, publisher string, textual_rating string")
     beliefs, weights = truth.discover(truth.stands(none), written, rounds=1)
