@@ -8,71 +8,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .joins import hot_cold_lookup, lookup_join, salted_join
+from .counted import first_values, looked_up, row_terms
 
-# A token in more than one of HOT_SHARE documents is hot. Document frequencies sum to documents
-# times the mean number of distinct tokens, so there are at most HOT_SHARE times that mean of them.
-HOT_SHARE = 200
+# A token in more than one of HOT_SHARE documents may be broadcast, the most frequent first.
+HOT_SHARE = 10_000
 MIN_COUNT = 3  # of a phrase in the corpus
 MIN_RATIO = 10.83  # log-likelihood ratio that chance exceeds once in a thousand
 
 
-def term_counts(df: DataFrame, key: str, content: str) -> DataFrame:
-    """``key, token, tf``. Counted before the shuffle, so a pair is sent once."""
-    return (
-        df.select(key, F.explode(text.tokens(F.col(content))).alias("token"))
-        .groupBy(key, "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def _ranked(scored: DataFrame, key: str, term: str, score: Column, n: int) -> DataFrame:
+    """``key, ranked``: the ``n`` terms of the highest score, ties by term. The limit holds before the shuffle, too."""
+    best = Window.partitionBy(key).orderBy(F.desc("score"), term)
+    ranked = scored.select(key, term, score.alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", term))).alias("ranked"))
 
 
 def key_themes(
-    df: DataFrame, key: str = "article_id", content: str = "content", n: int = 5
+    df: DataFrame, key: str = "article_id", content: str = "content", n: int = 5, keep: Keep = lambda counts: counts
 ) -> DataFrame:
     """``key, key_themes``: the ``n`` tokens of highest TF-IDF, best first, ties by token.
 
-    Texts without tokens have no row.
+    Texts without tokens have no row. ``keep``, such as ``session.written``, stores the counts of the articles
+    and of the tokens, which are read several times.
     """
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = term_counts(df, key, content)
+    counts = keep(row_terms(df, [key], text.tokens(F.col(content))).withColumnRenamed("term", "token"))
+    weights = keep(counts.groupBy("token").agg(F.count("tf").alias("df")))
+    often = F.col("df") * HOT_SHARE > total
+    weighted = looked_up(counts, weights, "token", often & first_values(weights.where(often), "df"))
     idf = F.log((total + 1) / (F.col("df") + 1)) + 1
-    weights = counts.groupBy("token").agg(F.count("tf").alias("df")).select("token", "df", idf.alias("idf"))
-    hot = weights.where(F.col("df") * HOT_SHARE > total)
-    weighted = hot_cold_lookup(counts, weights, "token", key, "idf", hot)
-    score = F.round(F.col("tf") * F.col("idf"), 6)
-    best = Window.partitionBy(key).orderBy(F.desc("score"), "token")
-    return (
-        weighted.select(key, "token", score.alias("score"))
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= n)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("ranked"))
-        .select(key, F.col("ranked.token").alias("key_themes"))
-    )
+    return _ranked(weighted, key, "token", F.round(F.col("tf") * idf, 6), n).select(key, F.col("ranked.token").alias("key_themes"))
 
 
-def phrase_counts(df: DataFrame, key: str, content: str) -> DataFrame:
-    """``key, first, second, tf`` of neighbouring tokens. Counted before the shuffle; linear in the text."""
+def neighbours(content: Column) -> Column:
+    """Each token but the last with the next one, joined by a blank. Linear in the text."""
 
-    def neighbours(tokens: Column) -> Column:
-        pairs = F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
-        return F.filter(pairs, lambda p: p["second"].isNotNull())
+    def pairs(tokens: Column) -> Column:
+        return F.array_compact(F.zip_with(tokens, F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b)))
 
-    pairs = df.where(F.col(content).isNotNull()).select(key, F.inline(text.bind(text.tokens(F.col(content)), neighbours)))
-    return pairs.groupBy(key, "first", "second").agg(F.count(F.lit(1)).alias("tf"))
+    return F.when(content.isNotNull(), text.bind(text.tokens(content), pairs))
 
 
-def phrases(counts: DataFrame, min_count: int = MIN_COUNT, min_ratio: float = MIN_RATIO) -> DataFrame:
+def phrases(both: DataFrame, min_count: int = MIN_COUNT, min_ratio: float = MIN_RATIO) -> DataFrame:
     """``phrase, ratio`` of the pairs that stand together more often than their words alone explain.
 
-    ``ratio`` is the log-likelihood ratio of the two-by-two table of first and second words.
+    ``both``, which is read four times, has each ``phrase`` with its count ``n12``. ``ratio`` is the log-likelihood ratio of the
+    two-by-two table of first and second words.
     """
-    both = counts.groupBy("first", "second").agg(F.sum("tf").alias("n12"))
+    words = both.select("phrase", "n12", F.substring_index("phrase", " ", 1).alias("first"), F.substring_index("phrase", " ", -1).alias("second"))
     total = both.agg(F.sum("n12").alias("n")).scalar()
-    firsts = both.groupBy("first").agg(F.sum("n12").alias("n1"))
-    seconds = both.groupBy("second").agg(F.sum("n12").alias("n2"))
-    often = both.where(F.col("n12") >= min_count)
-    table = salted_join(salted_join(often, firsts, "first", "second"), seconds, "second", "first").withColumn("n", total)
+    firsts = words.groupBy("first").agg(F.sum("n12").alias("n1"))
+    seconds = words.groupBy("second").agg(F.sum("n12").alias("n2"))
+    table = words.where(F.col("n12") >= min_count).join(firsts, "first").join(seconds, "second").withColumn("n", total)
     n12, n1, n2, n = (F.col(c).cast("double") for c in ("n12", "n1", "n2", "n"))
 
     def h(x: Column) -> Column:
@@ -80,22 +70,18 @@ def phrases(counts: DataFrame, min_count: int = MIN_COUNT, min_ratio: float = MI
 
     cells = h(n12) + h(n1 - n12) + h(n2 - n12) + h(n - n1 - n2 + n12)
     ratio = F.round(2 * (cells + h(n) - h(n1) - h(n - n1) - h(n2) - h(n - n2)), 4)
-    found = table.where(n12 * n > n1 * n2).select(F.concat_ws(" ", "first", "second").alias("phrase"), ratio.alias("ratio"))
+    found = table.where(n12 * n > n1 * n2).select("phrase", ratio.alias("ratio"))
     return found.where(F.col("ratio") >= min_ratio)
 
 
-def key_phrases(
-    df: DataFrame, keep: Callable[[DataFrame], DataFrame], key: str = "article_id", content: str = "content", n: int = 5
-) -> DataFrame:
+def key_phrases(df: DataFrame, keep: Keep, key: str = "article_id", content: str = "content", n: int = 5) -> DataFrame:
     """``key, key_phrases``: the ``n`` phrases of the highest count times ratio, best first, ties by phrase.
 
-    ``keep``, such as ``session.written``, stores the counts, which the corpus statistics and the articles both
-    read. Texts without a phrase have no row.
+    ``keep``, such as ``session.written``, stores the counts of the articles and of the corpus, which are read several
+    times. Texts without a phrase have no row.
     """
-    counts = keep(phrase_counts(df, key, content))
-    named = counts.select(key, F.concat_ws(" ", "first", "second").alias("phrase"), "tf")
-    score = F.round(F.col("tf") * F.col("ratio"), 3)
-    best = Window.partitionBy(key).orderBy(F.desc("score"), "phrase")
-    ranked = lookup_join(named, phrases(counts), "phrase", key).withColumn("score", score).withColumn("rank", F.row_number().over(best))
-    lists = ranked.where(F.col("rank") <= n).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "phrase"))).alias("ranked"))
-    return lists.select(key, F.col("ranked.phrase").alias("key_phrases"))
+    counts = keep(row_terms(df, [key], neighbours(F.col(content))).withColumnRenamed("term", "phrase"))
+    both = keep(counts.groupBy("phrase").agg(F.sum("tf").alias("n12")))
+    found = keep(phrases(both))
+    named = looked_up(counts, found, "phrase", first_values(found, "ratio"))
+    return _ranked(named, key, "phrase", F.round(F.col("tf") * F.col("ratio"), 3), n).select(key, F.col("ranked.phrase").alias("key_phrases"))

@@ -373,7 +373,7 @@ def classify_ml(spark, folder):
 
 @query
 def key_themes(spark, folder):
-    return themes.key_themes(tables.articles(spark, folder), KEY, "text").select(KEY, _joined("key_themes"))
+    return themes.key_themes(tables.articles(spark, folder), KEY, "text", keep=written).select(KEY, _joined("key_themes"))
 
 
 @query
