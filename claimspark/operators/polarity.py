@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .joins import lookup_join
+from .counted import term_list
+from .joins import is_small
 
 # Seeds and negations of the invented test prose; replace them for real text.
 SEEDS: dict[str, int] = {"for": 1, "with": 1, "pour": 1, "mit": 1, "con": 1, "by": 1, "but": -1, "from": -1, "on": -1, "que": -1, "von": -1, "para": -1}
@@ -25,6 +26,7 @@ SEED_WEIGHT = 2.0
 SMOOTHING = 0.5
 RATIO = 2.0
 MICRO = 1_000_000
+BROADCAST_WEIGHTS = 500_000
 
 
 def signed_tokens(sentence: Column, negations: Sequence[str] = NEGATIONS, scope: int = SCOPE) -> Column:
@@ -99,16 +101,22 @@ def learned_sentiment(
     """``key, positive, negative, sentiment`` of every row: the weights of its words on either side, and which one prevails.
 
     positive or negative if that side has at least ``ratio`` times the other, neutral without any, else mixed. ``weights`` are
-    broadcast after a count, or joined by salted tokens if there are many. ``key`` must be unique.
+    broadcast after a count, and then only a row a text and task is shuffled. More than ``BROADCAST_WEIGHTS`` are joined with the
+    words as each text counts them in itself. ``key`` must be unique.
     """
-    words = _sentences(df, key, content).select(key, F.inline("words"))
-    counts = words.groupBy(key, "token").agg(F.count_if(F.col("sign") > 0).alias("plain"), F.count_if(F.col("sign") < 0).alias("turned"))
-    hits = lookup_join(counts, weights, "token", key)
+    if is_small(weights, BROADCAST_WEIGHTS):
+        words = _sentences(df, key, content).select(key, F.inline("words"), F.lit(1).cast("long").alias("tf"))
+        hits = words.join(F.broadcast(weights), "token")
+    else:
+        each = F.flatten(F.transform(text.sentences(F.col(content)), lambda s: signed_tokens(s)))
+        words = df.select(key, F.inline(term_list(each))).select(key, "term.token", "term.sign", "tf")
+        hits = words.join(weights, "token")
     # Whole millionths, so that sums do not depend on their order.
-    size = F.round(F.abs("weight") * MICRO).cast("long")
+    size = F.round(F.abs("weight") * MICRO).cast("long") * F.col("tf")
+    kept = (F.col("weight") > 0) == (F.col("sign") > 0)
     sides = hits.groupBy(key).agg(
-        F.sum(size * F.when(F.col("weight") > 0, F.col("plain")).otherwise(F.col("turned"))).alias("positive"),
-        F.sum(size * F.when(F.col("weight") > 0, F.col("turned")).otherwise(F.col("plain"))).alias("negative"),
+        F.sum(F.when(kept, size).otherwise(F.lit(0))).alias("positive"),
+        F.sum(F.when(kept, F.lit(0)).otherwise(size)).alias("negative"),
     )
     shown = df.select(key).join(sides, key, "left").select(
         key, *(F.coalesce(F.col(c) / MICRO, F.lit(0.0)).alias(c) for c in ("positive", "negative"))

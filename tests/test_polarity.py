@@ -99,6 +99,20 @@ def test_sides_equal_brute_force(spark, planted):
     assert shown[1002]["sentiment"] == "mixed"
 
 
+def test_many_weights_and_few_give_the_same_sides(spark, planted, monkeypatch):
+    """Few weights shuffle sides only, many also the words, as counted inside their text."""
+    rows, df = planted
+    texts = df.where("article_id < 60").select("article_id", "content").union(spark.createDataFrame([(1000, None), (1001, "not good0 good0")], "a long, c string"))
+    table = spark.createDataFrame([("good0", 1.25), ("bad0", -2.0), ("not", 0.5)], "token string, weight double")
+    found = []
+    for limit, exchanges in ((10, 2), (2, 4)):  # two of them join the sides to the articles
+        monkeypatch.setattr(polarity, "BROADCAST_WEIGHTS", limit)
+        out = polarity.learned_sentiment(texts, table)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= exchanges
+        found.append(sorted(map(str, out.collect())))
+    assert found[0] == found[1] and len(found[0]) == 62
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "article_id long, content string")
     assert polarity.learn(empty).count() == 0
