@@ -220,9 +220,10 @@ def fact_check(
         review = F.try_element_at(F.col("_matches"), pos)
         return review_result(claim, review.isNotNull(), *[review[f] for f in _REVIEW_FIELDS])
 
+    # The claims come before the join, so that the summaries stay behind where nobody asks for them.
+    listed = articles.withColumn("claims", F.coalesce(claims, F.array().cast("array<string>")))
     return (
-        articles.join(per_article, key, "left")
-        .withColumn("claims", F.coalesce(claims, F.array().cast("array<string>")))
+        listed.join(per_article, key, "left")
         .withColumn("fact_check_results", F.transform("claims", result))
         .withColumn("overall_status", status_vote(F.col("fact_check_results")))
         .drop("_matches")

@@ -19,6 +19,7 @@ from ..schemas import (
 
 DEFAULT_CREDIBILITY = 0.5
 WORKFLOW = "article_analysis"
+SUCCEEDED = "succeeded"
 
 
 def vocabulary_counts(df: DataFrame, column: str, vocabulary: Sequence[str]) -> DataFrame:
@@ -52,7 +53,7 @@ def _count_map(column: str, vocabulary: Sequence[str]) -> Column:
     return F.create_map(*[x for v in vocabulary for x in (F.lit(v), F.count_if(F.col(column) == v))])
 
 
-def _succeeded() -> Column:
+def succeeded() -> Column:
     """False only for articles that carry both marks of a failed classification."""
     return ~(
         F.col("classification").eqNullSafe("Other")
@@ -60,6 +61,11 @@ def _succeeded() -> Column:
     )
 
 
+def _succeeded(df: DataFrame) -> Column:
+    """:func:`succeeded`, or the column of that name, which spares a join the notes."""
+    return F.col(SUCCEEDED) if SUCCEEDED in df.columns else succeeded()
+
+
 def analysis_summary(df: DataFrame) -> DataFrame:
     """One row with totals, count maps and mean credibility; no row for no articles."""
     return df.agg(
@@ -71,7 +77,7 @@ def analysis_summary(df: DataFrame) -> DataFrame:
         F.round(F.avg(F.coalesce("credibility_score", F.lit(DEFAULT_CREDIBILITY))), 3).alias(
             "average_credibility_score"
         ),
-        F.count_if(_succeeded()).alias("successful_analyses"),
+        F.count_if(_succeeded(df)).alias("successful_analyses"),
     ).where(F.col("total_articles") > 0)
 
 
@@ -102,12 +108,12 @@ def session_stats(df: DataFrame, *by: str, **more: Column) -> DataFrame:
 
 def summary_metrics(df: DataFrame, failure_mark: str = SUMMARY_FAILED) -> DataFrame:
     """One row: total, counts per store status, their percentages and the success rate; 0 when empty."""
-    succeeded = F.count_if(~F.col("summary").eqNullSafe(failure_mark))
+    made = F.count_if(~F.col("summary").eqNullSafe(failure_mark))
     status = F.col("fact_myth_status")
     counts = df.agg(
         F.count(F.lit(1)).alias("total"),
         *[F.count_if(status == s).alias(name) for s, name in zip(STORE_STATUSES, ("facts", "myths", "unclear"))],
-        succeeded.alias("successful"),
+        made.alias("successful"),
     )
 
     def percent(part: str) -> Column:
@@ -125,7 +131,7 @@ def stage_counts(df: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     summary_failed = F.count_if(F.col("summary").eqNullSafe(SUMMARY_FAILED))
     with_claims = F.count_if(F.coalesce(F.size("claims"), F.lit(0)) > 0)
-    classified = F.count_if(_succeeded())
+    classified = F.count_if(_succeeded(df))
     return df.agg(
         total.alias("articles"),
         (total - summary_failed).alias("summarised"),

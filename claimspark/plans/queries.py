@@ -96,10 +96,15 @@ def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     return responses.parse_responses(tables.model_responses(spark, folder)).drop("response")
 
 
-def _analysed(spark: SparkSession, folder: str) -> DataFrame:
+def _analysed(spark: SparkSession, folder: str, parsed: DataFrame | None = None) -> DataFrame:
     """Checked documents with the parsed answer of the model."""
     checked = _checked(spark, folder).withColumnRenamed("overall_status", "overall_fact_status")
-    return publish.store_view(checked.join(_parsed(spark, folder), KEY))
+    return publish.store_view(checked.join(_parsed(spark, folder) if parsed is None else parsed, KEY))
+
+
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`_analysed` with a mark of success in place of the notes, which have the length of the text."""
+    return _analysed(spark, folder, _parsed(spark, folder).withColumn(stats.SUCCEEDED, stats.succeeded()).drop("analysis_notes"))
 
 
 def _sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -526,7 +531,7 @@ _MAPS = {
 
 @query
 def analysis_summary(spark, folder):
-    return stats.analysis_summary(_analysed(spark, folder)).select(
+    return stats.analysis_summary(_marked(spark, folder)).select(
         "total_articles", *[_map_text(c, v) for c, v in _MAPS.items()],
         "average_credibility_score", "successful_analyses",
     )
@@ -534,7 +539,7 @@ def analysis_summary(spark, folder):
 
 @query
 def workflow_summary(spark, folder):
-    return stats.workflow_summary(_analysed(spark, folder)).select(
+    return stats.workflow_summary(_marked(spark, folder)).select(
         "workflow_type", "total_articles_processed", "successful_analyses", "failed_analyses",
         *[_map_text(f"analysis_summary.{c}", v) for c, v in _MAPS.items()],
         F.col("analysis_summary.average_credibility_score").alias("average_credibility_score"),

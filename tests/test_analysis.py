@@ -114,6 +114,24 @@ def test_statistics_of_nothing(spark):
     assert [r.n for r in stats.sentiment_counts(analysed(spark)).collect()] == [0] * 4
 
 
+def joined_columns(plan):
+    """The columns that reach any join of an optimized plan."""
+    children = plan.children()
+    below = [children.apply(i) for i in range(children.size())]
+    found = set().union(*map(joined_columns, below))
+    if plan.nodeName() == "Join":
+        found |= {c.output().apply(i).name() for c in below for i in range(c.output().size())}
+    return found
+
+
+def test_workflow_summary_joins_no_texts(spark, small):
+    from claimspark.plans import queries
+
+    out = queries.REGISTRY["workflow_summary"](spark, small)
+    columns = joined_columns(out._jdf.queryExecution().optimizedPlan())
+    assert {"claims", "succeeded"} <= columns and not columns & {"summary", "text", "analysis_notes", "response"}
+
+
 def test_metrics(spark):
     rows = [("Fact", "s"), ("Myth", SUMMARY_FAILED), (None, None)]
     df = spark.createDataFrame(rows, "fact_myth_status STRING, summary STRING")
