@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
 from . import store
+from .counted import row_terms
 from .joins import is_small
 from .retrieval import K1, B
 
@@ -23,7 +26,8 @@ BUCKETS = 64  # folders of an index, by a hash of the token or trigram
 LENGTHS = 32  # classes of article lengths; articles of a block are of one class, so that its best part is near to all
 BLOCK_DOCS = 256  # articles of a block, about
 FIRST_BLOCKS = 4  # of a topic, of the highest bounds, that are read before the others are judged
-ROWS_OF_A_LIST = 4096
+ROWS_OF_A_LIST = 4096  # at most
+CHARS_OF_A_LIST = 4_000_000  # of a column, about, that are taken apart at a time
 ROWS_OF_A_FILE = 100_000  # articles of which one file of a bucket has the postings, about
 _ROUNDING = 1e-6  # scores are rounded
 
@@ -60,14 +64,14 @@ def build_postings(articles: DataFrame, path: str, key: str = "article_id", cont
     wide = max(1, -(-n // (LENGTHS * block_docs)))
     length = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts or [0])))), lambda c: c < F.col("len")))
     block = length.cast("long") * wide + F.pmod(F.xxhash64("key"), F.lit(wide))
-    words = sized.select("key", "len", block.alias("block"), F.explode(tokens).alias("token"))
-    counts = words.groupBy("token", "block", "key", "len").agg(F.count(F.lit(1)).alias("tf"))
+    counts = row_terms(sized.withColumn("block", block), ["key", "len", "block"], tokens).withColumnRenamed("term", "token")
+    spread = F.pmod("block", F.lit(max(1, n // ROWS_OF_A_FILE)))
+    # Counts move once, to where their block is put together, sorted and written.
+    dealt = counts.withColumns({"bucket": _bucket("token"), "spread": spread}).repartition("bucket", "spread")
     damped = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0))
     part = (F.col("tf") * (K1 + 1) / damped).alias("part")
-    blocks = counts.groupBy("token", "block").agg(F.max(part).alias("top"), F.collect_list(F.struct("key", part)).alias("postings"))
-    blocks = blocks.withColumn("bucket", _bucket("token"))
-    spread = F.pmod("block", F.lit(max(1, n // ROWS_OF_A_FILE)))
-    ordered = blocks.repartition("bucket", spread).sortWithinPartitions("bucket", "token", "block")
+    blocks = dealt.groupBy("bucket", "spread", "token", "block").agg(F.max(part).alias("top"), F.collect_list(F.struct("key", part)).alias("postings"))
+    ordered = blocks.select("token", "block", "top", "postings", "bucket").sortWithinPartitions("bucket", "token", "block")
     _save(ordered, f"{path}/blocks")
     written = _read(articles.sparkSession, f"{path}/blocks")
     df = written.groupBy("bucket", "token").agg(F.sum(F.size("postings")).alias("df"))
@@ -127,9 +131,50 @@ def search_postings(topics: DataFrame, path: str, keep, k: int = 10, topic: str
 # --- search by a pattern ---------------------------------------------------------------------
 
 
-def trigrams(c: Column) -> Column:
-    """All runs of three characters of a text, each once. Linear in the text: the look-ahead takes one step a character."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1)))
+def _codes(value: bytes) -> np.ndarray:
+    """The runs of three characters of a text, each once, as numbers of 21 bits a character. Sorted."""
+    points = np.frombuffer(value.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
+
+
+def _grams(codes: np.ndarray) -> list[str]:
+    points = np.stack([codes >> 42, codes >> 21 & 0x1FFFFF, codes & 0x1FFFFF], axis=1).astype("<u4")
+    letters = points.tobytes().decode("utf-32-le")
+    return [letters[i : i + 3] for i in range(0, len(letters), 3)]
+
+
+def _slices(values: list[bytes | None]) -> Iterator[slice]:
+    """Runs of rows with at most ROWS_OF_A_LIST rows, and about CHARS_OF_A_LIST bytes if a row has no more."""
+    sizes = np.array([len(v) if v is not None else 0 for v in values], np.int64)
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= ROWS_OF_A_LIST or total + n > CHARS_OF_A_LIST):
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if len(sizes) > start:
+        yield slice(start, len(sizes))
+
+
+def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by trigram and column, put together where the texts are: a row and trigram is an entry of a list, not a row of a shuffle."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for field in range(batch.num_columns - 1):
+            values = batch.column(field + 1).to_pylist()
+            for own in _slices(values):
+                codes = [_codes(v) if v else np.empty(0, np.int64) for v in values[own]]
+                row = np.repeat(ids[own], [len(c) for c in codes])
+                codes = np.concatenate(codes)
+                if not len(codes):
+                    continue
+                order = np.argsort(codes, kind="stable")
+                codes = codes[order]
+                starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(codes)], pa.int32()), pa.array(row[order], pa.int64()))
+                n = len(starts)
+                columns = [pa.array(_grams(codes[starts]), pa.string()), pa.array(np.full(n, field), pa.int32()), pa.array(np.full(n, row[0] // ROWS_OF_A_LIST), pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "field", "part", "ids"])
 
 
 def build_trigrams(current: DataFrame, path: str, columns: Sequence[str] = ("url", "title", "summary")) -> None:
@@ -137,11 +182,8 @@ def build_trigrams(current: DataFrame, path: str, columns: Sequence[str] = ("url
     spark = current.sparkSession
     current.withColumn("_id", F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
-    fields = F.array(*(F.struct(F.lit(i).alias("field"), F.lower(c).alias("value")) for i, c in enumerate(columns)))
-    each = rows.select("_id", F.inline(fields)).where(F.col("value").isNotNull())
-    grams = each.select("_id", "field", F.explode(trigrams(F.col("value"))).alias("gram"))
-    part = F.floor(F.col("_id") / ROWS_OF_A_LIST).alias("part")
-    lists = grams.groupBy("gram", "field", part).agg(F.collect_list("_id").alias("ids")).withColumn("bucket", _bucket("gram"))
+    each = rows.select("_id", *(F.lower(c).cast("binary").alias(f"field{i}") for i, c in enumerate(columns)))
+    lists = each.mapInArrow(_gram_lists, "gram string, field int, part long, ids array<long>").withColumn("bucket", _bucket("gram"))
     spread = F.pmod("part", F.lit(max(1, rows.count() // ROWS_OF_A_FILE)))
     ordered = lists.repartition("bucket", spread).sortWithinPartitions("bucket", "gram")
     _save(ordered, f"{path}/grams")
@@ -149,9 +191,10 @@ def build_trigrams(current: DataFrame, path: str, columns: Sequence[str] = ("url
 
 def pattern_trigrams(spark: SparkSession, topic: str) -> list[tuple[int, str]]:
     """Bucket and text of the trigrams that any match of ``%topic%`` has; none if no three letters stand together."""
-    low = spark.range(1).select(F.lower(F.lit(f"%{topic}%"))).first()[0]  # as `ilike` folds it: as a whole
-    found = spark.range(1).select(F.array(*map(F.lit, re.split("[%_]", low))).alias("runs"))
-    found = found.select(F.explode(F.flatten(F.transform("runs", trigrams))).alias("gram")).distinct()
+    grams = {gram for run in re.split("[%_]", store.folded(spark, topic)) for gram in _grams(_codes(run.encode()))}
+    if not grams:
+        return []
+    found = spark.createDataFrame([(g,) for g in sorted(grams)], "gram string")
     return [(r["bucket"], r["gram"]) for r in found.select(_bucket("gram"), "gram").collect()]
 
 
@@ -169,7 +212,7 @@ def articles_by_topic(spark: SparkSession, topic: str, path: str) -> DataFrame:
     """The rows of ``store.articles_by_topic`` from an index.
 
     ``%`` and ``_`` are wildcards, a backslash is not special. Candidates have all trigrams of the parts between wildcards;
-    ``ilike`` then decides. Where no part has three letters, all rows are candidates.
+    the scan's condition then decides. Where no part has three letters, all rows are candidates.
     """
     rows = spark.read.parquet(f"{path}/rows")
     found = pattern_candidates(spark, topic, path)

@@ -88,15 +88,38 @@ def recent_sessions(sessions: DataFrame, limit: int = 10) -> DataFrame:
     return sessions.select(*columns).orderBy(F.desc("created_at"), "topic").limit(limit)
 
 
+def folded(spark: SparkSession, topic: str) -> str:
+    """``%topic%`` in lower case, as ``ilike`` folds it: as a whole."""
+    return spark.range(1).select(F.lower(F.lit(f"%{topic}%"))).first()[0]
+
+
+def _holds(value: Column, parts: list[str]) -> Column:
+    """Whether the parts, in which ``_`` stands for any character, follow one another in a text. Linear in the text.
+
+    Each part is taken where it first ends, which leaves most to the next ones, so no other place has to be tried;
+    ``like`` tries all of them, once a part is missing.
+    """
+    if not parts:
+        return value.isNotNull()
+    if len(parts) == 1 and "_" not in parts[0]:
+        return F.contains(value, F.lit(parts[0]))
+
+    def quoted(run: str) -> str:
+        return "\\Q" + run.replace("\\E", "\\E\\\\E\\Q") + "\\E" if run else ""
+
+    each = (".".join(map(quoted, part.split("_"))) for part in parts)
+    return F.rlike(value, F.lit("(?s)\\A" + "".join(f"(?>.*?{part})" for part in each)))
+
+
 def articles_by_topic(current: DataFrame, topic: str) -> DataFrame:
     """Articles with the topic in url, title or summary, in any case, newest first.
 
     ``%`` and ``_`` in the topic are wildcards; a backslash is an ordinary character.
     """
-    pattern = "%" + topic.replace("\\", "\\\\") + "%"
+    parts = [p for p in folded(current.sparkSession, topic).split("%") if p]
     found = F.lit(False)
     for column in ("url", "title", "summary"):
-        found = found | F.coalesce(F.col(column).ilike(pattern), F.lit(False))
+        found = found | F.coalesce(_holds(F.lower(column), parts), F.lit(False))
     return current.where(found).select(*_COLUMNS).orderBy(F.desc("created_at"), "url")
 
 

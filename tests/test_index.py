@@ -1,6 +1,7 @@
 """Stored indexes give the rows of the searches that read everything."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,64 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
         assert rows(index.articles_by_topic(spark, p, str(tmp_path / "t")).select("url")) == rows(store.articles_by_topic(current, p).select("url")), p
     assert index.pattern_candidates(spark, "needle", str(tmp_path / "t")).count() == 2
     assert index.pattern_candidates(spark, "a_%c", str(tmp_path / "t")) is None
+
+
+def saved(monkeypatch):
+    """The plans of what an index stores, which are also stored."""
+    plans, save = [], index._save
+
+    def spy(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        save(df, path)
+
+    monkeypatch.setattr(index, "_save", spy)
+    return plans
+
+
+def test_postings_and_trigrams_are_dealt_out_once(spark, tmp_path, monkeypatch):
+    plans = saved(monkeypatch)
+    texts = [(1, "a b a"), (2, "b c"), (3, None)]
+    articles = written(spark.createDataFrame(texts, "article_id long, text string"))
+    index.build_postings(articles, str(tmp_path / "p"))
+    index.build_trigrams(articles.withColumn("url", F.col("text")), str(tmp_path / "t"), ("url",))
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 2, 1]  # blocks, terms from them, trigrams
+
+
+def test_rows_of_one_key_are_one_article_of_an_index(spark, tmp_path):
+    rows_ = [(1, "a b"), (1, "b a"), (2, "a c d"), (None, "a b"), (None, "a x")]
+    articles = spark.createDataFrame(rows_, "article_id long, text string")
+    topics = spark.createDataFrame([("a",)], "topic string")
+    index.build_postings(articles, str(tmp_path / "i"))
+    assert rows(index.search_postings(topics, str(tmp_path / "i"), written)[0].select("article_id").fillna(-1)) == [(-1,), (1,), (2,)]
+
+
+def test_trigram_lists_are_bounded_and_lose_none(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(index, "ROWS_OF_A_LIST", 3)
+    monkeypatch.setattr(index, "CHARS_OF_A_LIST", 40)
+    draw = random.Random(5)
+    texts = [None if i % 9 == 4 else "".join(draw.choices("ab😀", k=draw.randrange(30))) for i in range(60)]
+    ids = [i + (i // 20 << 33) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([t if t is None else t.encode() for t in texts], pa.binary())], ["_id", "field0"])
+    found = [r for b in index._gram_lists([batch]) for r in b.to_pylist()]
+    assert all(len(r["ids"]) <= 3 and r["ids"] == sorted(r["ids"]) for r in found)
+    expected = sorted((t[j : j + 3], i) for i, t in zip(ids, texts) for j in range(len(t or "") - 2) if t.find(t[j : j + 3]) == j)
+    assert sorted((r["gram"], i) for r in found for i in r["ids"]) == expected
+
+
+def test_patterns_equal_ilike_and_take_linear_time(spark):
+    patterns = [*PATTERNS, "h%lich%ung", "a%b_c%", "_", "__%a", "%%", "a%_%c", "\\E", "ab%ab", "q%\\Q%\\E"]
+    texts = [*ODD, "lich h ung", "h lich ung", "H LICHung", "\\Q x \\E", "abab", "aab", "a\nb\nc", "q\\Q\\E"]
+    table = [(str(i), t, None, "c", "s") for i, t in enumerate(texts)] + [(None, None, None, "c", "s")]
+    schema = "url string, title string, summary string, classification string, fact_myth_status string"
+    current = spark.createDataFrame(table, schema).withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz")).cache()
+    for p in patterns:
+        like = "%" + p.replace("\\", "\\\\") + "%"
+        scan = current.where(F.coalesce(F.col("url").ilike(like), F.lit(False)) | F.coalesce(F.col("title").ilike(like), F.lit(False)))
+        assert rows(store.articles_by_topic(current, p).select("url")) == rows(scan.select("url")), p
+    long = spark.range(1).select(F.lit("u").alias("url"), F.repeat(F.lit("h lich "), 30_000).alias("title"), F.lit("").alias("summary"))
+    long = long.select("*", F.lit("").alias("classification"), F.lit("").alias("fact_myth_status"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    started = time.perf_counter()
+    assert store.articles_by_topic(long, "h%lich%ung").count() == 0
+    assert time.perf_counter() - started < 20  # going back to each place took minutes
