@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -27,6 +28,9 @@ def stateful(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # A batch adds its changes to the checkpoint instead of the files of the whole state.
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # State may hold texts: they are compressed, and all partitions of an executor share bounded buffers.
+    spark.conf.set("spark.sql.streaming.stateStore.compression.codec", "zstd")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark
 
@@ -40,13 +44,16 @@ def _order(created_at: str) -> Column:
     return F.coalesce(micros, F.lit(_OLDEST))
 
 
-def _last(frame):
-    return frame.sort_values(["order_at", "seq"], kind="stable").drop_duplicates("url", keep="last")
+@F.pandas_udf(T.BooleanType())
+def _last_here(url: pd.Series, order_at: pd.Series, seq: pd.Series) -> pd.Series:
+    """Whether a row is the newest of its url in its Arrow batch."""
+    rows = pd.DataFrame({"url": url, "order_at": order_at, "seq": seq}).reset_index(drop=True)
+    last = rows.sort_values(["order_at", "seq"], kind="stable").drop_duplicates("url", keep="last")
+    return pd.Series(rows.index.isin(last.index))
 
 
-def _last_of_batches(frames):
-    for frame in frames:
-        yield _last(frame)
+def _rank(row: Row) -> tuple[int, int]:
+    return row["order_at"], row["seq"]
 
 
 class Newest(StatefulProcessor):
@@ -58,16 +65,11 @@ class Newest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", T.StructType([T.StructField("at", T.LongType()), T.StructField("seq", T.LongType())]), self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        best = None
-        for frame in rows:
-            last = _last(frame)
-            order = int(last["order_at"].iloc[0]), int(last["seq"].iloc[0])
-            if best is None or order > best[0]:
-                best = order, last
-        if best and (not self.seen.exists() or best[0] > tuple(self.seen.get())):
-            self.seen.update(best[0])
-            yield best[1].drop(columns="order_at")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = max(rows, key=_rank)
+        if not self.seen.exists() or _rank(last) > tuple(self.seen.get()):
+            self.seen.update(_rank(last))
+            yield Row(**{c: v for c, v in last.asDict().items() if c != "order_at"})
 
     def close(self) -> None:
         pass
@@ -78,13 +80,26 @@ def newest_rows(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
     Order is that of ``created_at`` (null before all), then ``seq``, not of arrival; rows that came before, or
     come again, are not passed on, so ``store.current_articles`` over what is passed on is what it is over all
-    rows. Each Arrow batch is reduced to a row a url before the shuffle. ``seq`` must not be null. A url
-    that gets no newer row for ``ttl_ms`` is forgotten: an older row is then passed on, which the view above puts right. With a
-    ``ttl_ms`` Spark goes on with empty batches, so such a stream is for triggers that do not end, or needs those switched off.
+    rows. ``seq`` must not be null.
+
+    State is an aggregate of a row a url, reduced within a task before the shuffle. Of equal ranks the one that came
+    in the earliest batch stays, so a row of this batch's time is one that is newer than all before it.
+
+    A url that gets no newer row for ``ttl_ms`` is forgotten: an older row is then passed on, which the view above
+    puts right. An aggregate forgets nothing by that, so such a stream keeps the ranks alone, in a Python processor, which
+    costs a millisecond or two a url and batch. With a ``ttl_ms`` Spark goes on with empty batches, so such a stream is for triggers
+    that do not end, or needs those switched off. A checkpoint goes on only with or without a ``ttl_ms``, as it began.
     """
     keyed = rows.where(F.col("url").isNotNull()).withColumn("order_at", _order("created_at"))
-    slim = keyed.mapInPandas(_last_of_batches, keyed.schema)
-    return slim.groupBy("url").transformWithStateInPandas(Newest(ttl_ms), rows.schema, "Update", "ProcessingTime" if ttl_ms else "None")
+    if ttl_ms:
+        slim = keyed.where(_last_here.asNondeterministic()("url", "order_at", "seq"))
+        return slim.groupBy("url").transformWithState(Newest(ttl_ms), rows.schema, "Update", "ProcessingTime")
+    came = F.unix_micros(F.current_timestamp())  # in a stream, the time of the batch, also when it is repeated
+    rest = [c for c in rows.columns if c not in ("url", "seq")]
+    last = F.max(F.struct("order_at", "seq", "earlier", *rest)).alias("last")
+    newest = keyed.withColumn("earlier", -came).groupBy("url").agg(last)
+    changed = newest.withColumn("earlier", -came).where("last.earlier = earlier")
+    return changed.select(*("url" if c == "url" else F.col(f"last.{c}") for c in rows.columns))
 
 
 # --- reviews that come after the article -----------------------------------------------------

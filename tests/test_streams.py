@@ -50,6 +50,56 @@ def test_newest_rows_pass_on_changes_only(spark, tmp_path):
     assert sorted(map(str, store.current_articles(log).drop("run").collect())) == sorted(map(str, store.current_articles(whole).collect()))
 
 
+def test_newest_rows_stay_out_of_python(spark, tmp_path):
+    stream = arriving(spark, tmp_path / "in", ARTICLE_LOG, [[("u", "t", "", "", "", at(1), 1)]])
+    plan = state.newest_rows(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan
+    assert not [n for n in ("Python", "Pandas", "PySpark", "Arrow") if n in plan]
+
+
+def test_newest_rows_of_a_url_touched_by_older_rows(spark, tmp_path):
+    """A url's state is touched in each batch, but its row comes out only when it changes, and is whole."""
+    state.stateful(spark)
+
+    def row(minutes, seq, title="t", url="u"):
+        return url, title, f"summary {title}", None, "", None if minutes is None else at(minutes), seq
+
+    batches = [
+        [row(None, 9, "no time"), row(None, 3)],
+        [row(5, 2, "first"), row(5, 1), row(4, 7)],
+        [row(5, 1), row(None, 99), row(5, 2, "same rank, later")],
+        [row(5, 3, "same time, higher seq"), row(1, 1, "other", "v")],
+        [row(5, 2, "first"), row(0, 500, "other", "v")],
+    ]
+    stream = arriving(spark, tmp_path / "in", ARTICLE_LOG, batches)
+    out = str(tmp_path / store.ARTICLES)
+    query = state.drained_changes(state.newest_rows(stream), out, str(tmp_path / "checkpoint"))
+    log = store.read_log(spark, str(tmp_path), store.ARTICLES)
+    assert log.columns == [*ARTICLE_LOG.fieldNames(), "run"]
+    passed = {(int(r["run"].removeprefix("batch")), *r[:7]) for r in log.collect()}
+    changes = [(0, batches[0][0]), (1, batches[1][0]), (3, batches[3][0]), (3, batches[3][1])]
+    assert passed == {(k, *r) for k, r in changes} and log.count() == len(changes)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # one a url, however many rows came
+
+
+def test_newest_rows_with_a_ttl_are_those_without(spark, tmp_path):
+    state.stateful(spark)
+    draw = random.Random(7)
+    rows = [(f"u{draw.randrange(9)}", f"t{i}", None, "", "", None if i % 7 == 5 else at(draw.randrange(40)), i) for i in range(90)]
+    batches = [rows[:40], rows[30:70], rows[60:], rows[::-1]]
+    stream = arriving(spark, tmp_path / "in", ARTICLE_LOG, batches)
+    passed = []
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for ttl_ms in (None, 86_400_000):
+            base = str(tmp_path / f"ttl-{ttl_ms}")
+            state.drained_changes(state.newest_rows(stream, ttl_ms), f"{base}/{store.ARTICLES}", f"{base}/checkpoint")
+            passed.append(sorted(map(str, store.read_log(spark, base, store.ARTICLES).collect())))
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert passed[0] == passed[1] and len(passed[0]) > 9
+
+
 CLAIMS = "article_id long, pos int, claim string, claimed_at timestamp"
 REVIEWS = "review_id long, claim_text string, textual_rating string, publisher string, publisher_site string, review_url string, review_date string, reviewed_at timestamp"
 
