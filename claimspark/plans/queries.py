@@ -33,7 +33,7 @@ from ..operators import (
     truth,
 )
 from ..schemas import ARTICLE_LOG, CATEGORIES, CLAIM_STATUSES, CONFIDENCES, SENTIMENTS
-from ..session import configure, shared_dir, written
+from ..session import configure, shared_dir, shuffles_dropped, written
 from ..sources import responses as service
 from ..sources import tables
 from ..streaming import ingest, state
@@ -796,9 +796,11 @@ def stream_upsert(spark, folder):
     """The last row of each url from a stream of all rows, which then come once more in another order."""
     work = _work(spark)
     rows = store.article_rows(_submitted(spark, folder), F.col("at"))
-    for turn in (0, 1):
-        stream = _stream(rows.repartition(F.xxhash64("url", "seq", F.lit(turn))), f"{work}/in", again=turn > 0)
-        state.drained_changes(state.newest_rows(stream), f"{work}/{store.ARTICLES}", f"{work}/checkpoint")
+    with shuffles_dropped(spark):
+        for turn in (0, 1):
+            ordered = rows.repartition(F.xxhash64("url", "seq")) if turn else rows
+            stream = _stream(ordered, f"{work}/in", again=turn > 0)
+            state.drained_changes(state.newest_rows(stream), f"{work}/{store.ARTICLES}", f"{work}/checkpoint")
     return store.current_articles(store.read_log(spark, work, store.ARTICLES)).drop("run").withColumn("created_at", _shown())
 
 

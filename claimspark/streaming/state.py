@@ -28,8 +28,9 @@ def stateful(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # A batch adds its changes to the checkpoint instead of the files of the whole state.
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    # State may hold texts: they are compressed, and all partitions of an executor share bounded buffers.
+    # State may hold texts: they are compressed well, and all partitions of an executor share bounded buffers.
     spark.conf.set("spark.sql.streaming.stateStore.compression.codec", "zstd")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.compression", "zstd")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark

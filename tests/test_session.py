@@ -42,3 +42,12 @@ def test_only_small_inputs_are_spread(spark):
     assert tables.spread(one, "id").rdd.getNumPartitions() == cores
     many = spark.range(0, 100, 1, cores * 3)
     assert tables.spread(many, "id") is many
+
+
+def test_shuffles_are_dropped_only_meanwhile(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError, match="meanwhile"), session.shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+        raise ValueError("meanwhile")
+    assert spark.conf.get(key) == before
