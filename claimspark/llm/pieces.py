@@ -76,6 +76,7 @@ class Vocabulary:
         splits = not any(re.search(rf"[^{SPACE}]{SPACE}|\n", name) for name in joined)
         self.chunk = re.compile(r" *[^ \n]+|\n| +" if splits else r"(?s).+")
         self.bytes_of = [b"" if lib.is_control(i) else bytes([int(name[3:5], 16)]) if lib.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
+        self.n_bytes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.forget()
 
     def _slots(self, code: np.ndarray, turn: int) -> np.ndarray:
@@ -147,9 +148,9 @@ class Vocabulary:
         return self._fallback([symbols[i] for i in kept], [chunk[i] for i in kept])
 
     def merge_many(self, chunks: list[str]) -> list[bytes]:
-        """Many short chunks at once: in each round the best pair of every chunk is merged."""
-        lengths = np.array([len(c) for c in chunks])
-        text = "".join(chunks)
+        """Many short chunks at once, with their spaces: in each round the best pair of every chunk is merged."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        text = "".join(chunks).replace(" ", SPACE)
         symbols = self.char[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         place = np.arange(len(symbols))
         owner = np.repeat(np.arange(len(chunks)), lengths)
@@ -201,19 +202,30 @@ class Vocabulary:
         new = set().union(*split).difference(cache)
         if older:
             again = [c for c in new if c in older]
-            cache.update((c, older[c]) for c in again)
+            cache.update(zip(again, map(older.__getitem__, again), strict=True))
             new.difference_update(again)
-        short = [c for c in new if len(c) < LONG]
         long = [c for c in new if len(c) >= LONG]
-        made = list(zip(short, self.merge_many([c.replace(" ", SPACE) for c in short]), strict=True)) if short else []
-        made += [(c, _packed(self.merge_heap(c.replace(" ", SPACE)))) for c in long]
-        cache.update(made)
-        piece = self.bytes_of.__getitem__
-        for c, ids in made:
-            if (back := b"".join(map(piece, _unpacked(ids)))) != c.encode():
-                self.odd[c] = back
+        short = list(new.difference(long))
+        chunks = short + long
+        made = self.merge_many(short) if short else []
+        made += [_packed(self.merge_heap(c.replace(" ", SPACE))) for c in long]
+        cache.update(zip(chunks, made, strict=True))
+        self.odd.update(self._odd(chunks, made))
         return long
 
+    def _odd(self, chunks: list[str], made: list[bytes]) -> dict[str, bytes]:
+        """Chunks whose ids do not spell them, and what they spell. All are spelled in one go, and one by one only if that differs."""
+        ids, piece = _unpacked(b"".join(made)), self.bytes_of.__getitem__
+        spelled, text = b"".join(map(piece, ids)), "".join(chunks).encode()
+        if spelled == text:
+            places = np.cumsum(self.n_bytes[np.asarray(ids, np.int64)])
+            last = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))) // 4 - 1
+            sizes = map(len, chunks) if len(text) == sum(map(len, chunks)) else map(len, map(str.encode, chunks))
+            if (places[last] == np.cumsum(np.fromiter(sizes, np.int64, len(chunks)))).all():
+                return {}
+        each = ((c, b"".join(map(piece, _unpacked(x)))) for c, x in zip(chunks, made, strict=True))
+        return {c: back for c, back in each if back != c.encode()}
+
     def run(self, texts: list[str]) -> tuple[list[bytes], list[str], list[bool]]:
         """Ids of each text with those of begin and end, four little-endian bytes each; the decoded text; whether the library agrees.
 
@@ -224,11 +236,11 @@ class Vocabulary:
         split = [self.chunk.findall(" " + t.replace(SPACE, " ")) if t else [] for t in each]
         long = self._learn(split)
         begin, end, known = _packed([self.begin]), _packed([self.end]), self.cache.__getitem__
-        checked = self.library.encode(each, add_bos=True, add_eos=True, num_threads=1)
+        checked = self.library.encode(each, add_bos=True, add_eos=True, num_threads=1, return_type="numpy")
         back = self.library.decode(checked, num_threads=1)
         out = {}
         for text, own, other, decoded in zip(each, split, checked, back, strict=True):
-            ids, packed = b"".join([begin, *map(known, own), end]), _packed(other)
+            ids, packed = b"".join([begin, *map(known, own), end]), other.astype("<u4", copy=False).tobytes()
             agrees = ids == packed and self._decoded(own) == decoded
             out[text] = (ids, decoded, True) if agrees else (packed, decoded, False)
         for c in long:  # long chunks are rare and seldom come again
@@ -243,7 +255,7 @@ class Vocabulary:
 
     def _decoded(self, chunks: list[str]) -> str | None:
         """The text of chunks; null if their bytes are no UTF-8."""
-        if self.odd.keys().isdisjoint(chunks):
+        if not self.odd or self.odd.keys().isdisjoint(chunks):
             return "".join(chunks)[1:]
         parts = b"".join(self.odd[c] if c in self.odd else c.encode() for c in chunks)
         try:

@@ -173,6 +173,24 @@ def test_a_wrong_cut_into_chunks_is_noticed(vocabulary, monkeypatch):
     vocabulary.forget()
 
 
+def test_new_chunks_are_spelled_in_one_go(vocabulary, monkeypatch):
+    vocabulary.forget()
+    calls, unpacked = [], pieces._unpacked
+    monkeypatch.setattr(pieces, "_unpacked", lambda ids: calls.append(len(ids)) or unpacked(ids))
+    assert vocabulary.encode([" ".join(f"wörd{i}" for i in range(500))])[1] == [True]
+    assert len(calls) == 1
+    vocabulary.forget()
+
+
+def test_chunks_that_are_not_spelled_by_their_ids(vocabulary):
+    a, b, c = ([vocabulary.library.piece_to_id(x)] for x in "abc")
+    made = [np.array(ids, "<u4").tobytes() for ids in (a, b + c, a)]
+    assert vocabulary._odd(["a", "bc", "a"], made) == {}
+    assert vocabulary._odd(["ab", "c", "a"], made) == {"ab": b"a", "c": b"bc"}  # the same bytes in all
+    assert vocabulary._odd(["a", "bc", "é"], made) == {"é": b"a"}
+    assert vocabulary._odd([], []) == {}
+
+
 def test_heap_and_rounds_agree(vocabulary):
     chunks = ["▁international", "aaaaaaaa", "▁▁▁▁▁", "xyzzyzzy", "日本語", "▁t", "q"]
     by_round = vocabulary.merge_many(chunks)
